@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.curie import prefix_list, shorten
-from tessera.llm import groups, lookalike, topn
+from tessera.llm import bpe, groups, lookalike, topn
 from tessera.plans.runtime import table
 
 
@@ -30,7 +30,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(scores, "from_idx", "score", "to_idx", 5).select("from_idx", "to_idx")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_canonical": p3_canonical,
+    "p5_found": p5_found,
+    "p6_ids": p6_ids,
+}
 
 ORACLE = {
     "p5_found": """
