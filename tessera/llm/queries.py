@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.curie import prefix_list, shorten
-from tessera.llm import bpe, groups, lookalike, topn
+from tessera.llm import bpe, groups, lookalike, spans, topn
 from tessera.plans.runtime import table
 
 
@@ -34,12 +34,22 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_chars(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return spans.spans(table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
 }
 
 ORACLE = {
