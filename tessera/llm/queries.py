@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.curie import prefix_list, shorten
-from tessera.llm import bpe, groups, lookalike, spans, topn
+from tessera.llm import bpe, groups, lookalike, packing, spans, topn
 from tessera.plans.runtime import table
 
 
@@ -34,6 +34,18 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+CAPACITY = 4096
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = bpe.count_column(table(spark, d, "documents"), "doc_id", "text")
+    return packing.containers(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p7_containers(spark, d), CAPACITY)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_chars(table(spark, d, "documents"), "doc_id", "text")
 
@@ -48,6 +60,8 @@ QUERIES = {
     "p3_canonical": p3_canonical,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
+    "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
 }
