@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.curie import prefix_list, shorten
-from tessera.llm import bpe, groups, lookalike, packing, spans, topn
+from tessera.llm import bpe, entities, groups, lookalike, packing, spans, topn
 from tessera.plans.runtime import table
 
 
@@ -25,6 +25,15 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(labels, "label").select("label_id", "canonical")
 
 
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    a, b = entities.foods(table(spark, d, "cul_foods"), table(spark, d, "wik_foods"), table(spark, d, "places"))
+    return entities.match(a, b)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_matches(spark, d).where("p >= 0.5").select("e1", "e2")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     scores = topn.pair_scores(table(spark, d, "sim_edges"))
     return topn.top_n(scores, "from_idx", "score", "to_idx", 5).select("from_idx", "to_idx")
@@ -58,6 +67,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
+    "p4_found": p4_found,
+    "p4_matches": p4_matches,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
