@@ -160,10 +160,12 @@ def grid_search(
     ref = _keys(reference).withColumn("r", F.lit(1))
     pairs = canonical(df).join(ref, ["a", "b"], "left")
     steps = F.array(*[F.lit(float(t)) for t in ts])
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("w"), F.size(F.filter(steps, lambda t, p=aggregate(a, F.col(dist), ws): t < p)).alias("k"), aggregate(a, F.col(dist), ws).isNotNull().alias("has"))
-        for i, (a, ws) in enumerate(grid)
-    ])
+
+    def cell(i: int, a: str, ws: Sequence[float]) -> Column:
+        p = aggregate(a, F.col(dist), ws)
+        return F.struct(F.lit(i).alias("w"), F.size(F.filter(steps, lambda t: t < p)).alias("k"), p.isNotNull().alias("has"))
+
+    cells = F.array(*[cell(i, a, ws) for i, (a, ws) in enumerate(grid)])
     counts = pairs.select("a", "b", "r", F.explode(cells).alias("c")).where("c.has").groupBy("c.w", "a", "b").agg(
         F.min("c.k").alias("k"), F.max("r").alias("r")
     ).groupBy("w", "k").agg(F.count("r").alias("hit"), F.count("*").alias("all"))

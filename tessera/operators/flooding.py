@@ -32,7 +32,7 @@ def connectivity(g1: DataFrame, g2: DataFrame, keep: DataFrame | None = None, la
     # every edge with every edge: spread one side over buckets so that it's an equi-join
     n = 16
     left = a.withColumn("k", F.pmod(F.xxhash64("x", "x2"), F.lit(n)))
-    right = b.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint"))
+    right = b.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
     return left.join(right, "k").select("x", "y", "x2", "y2")
 
 

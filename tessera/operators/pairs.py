@@ -3,8 +3,9 @@
 A theta join ``d(a, b) <= t`` is never a cross join here.  Pairs are made by an
 equi-join on signatures that any two strings within ``t`` must share:
 
-* q-grams (Jaccard): the rarest grams of each set, as many as the threshold
-  allows not to be shared (prefix filter), plus a length filter.
+* q-grams (Jaccard): several of the rarest grams of each set, out of as many as
+  the threshold allows not to be shared and these (prefix filter), plus a length
+  filter.
 * Levenshtein: pieces of the string (pigeonhole: with at most ``k`` edits one of
   ``k + 1`` pieces is untouched), at places shifted by at most ``k``.
 * token or key blocking for measures without such a bound (documented loss).
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import distance as D
 from tessera.functions.aggregate import confidence
+from tessera.plans.runtime import Workspace
 
 
 def sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,28 +43,32 @@ def _back(a: DataFrame, b: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(a, "x").join(b, "y").groupBy("e1", "e2").agg(F.min("d").alias("p"))
 
 
-def qgram_join(a: DataFrame, b: DataFrame, t: float, q: int = 2, inclusive: bool = True) -> DataFrame:
+def qgram_join(a: DataFrame, b: DataFrame, t: float, q: int = 2, inclusive: bool = True, common: int = 4) -> DataFrame:
     """``e1, e2, p``: all pairs with a q-gram distance of at most ``t`` (0 <= t
-    < 1), the smallest over their labels.  Lossless."""
+    < 1), the smallest over their labels.  Lossless.
+
+    Two sets within ``t`` share at least ceil((1 - t) n) of n grams, so they
+    share ``common`` of their rarest n - ceil((1 - t) n) + ``common`` (fewer for
+    short texts); only pairs that do, and whose sizes agree, are verified."""
     if not 0 <= t < 1:
         raise ValueError("0 <= t < 1")
     a, b, xs, ys = _texts(a, b)
-    xs = xs.withColumn("g", D.grams(F.col("x"), q))
-    ys = ys.withColumn("g", D.grams(F.col("y"), q))
-    freq = xs.select(F.explode("g").alias("w")).unionAll(ys.select(F.explode("g").alias("w"))).groupBy("w").count()
-
-    def prefix(df: DataFrame, key: str) -> DataFrame:
-        n = F.size("g")
+    ws = Workspace(a.sparkSession, "qgrams")
+    xs = ws.cut(xs.withColumn("gx", F.transform(D.grams(F.col("x"), q), lambda g: F.xxhash64(g))), "x")
+    ys = ws.cut(ys.withColumn("gy", F.transform(D.grams(F.col("y"), q), lambda g: F.xxhash64(g))), "y")
+    freq = xs.select(F.explode("gx").alias("w")).unionAll(ys.select(F.explode("gy").alias("w"))).groupBy("w").count()
+
+    def prefix(df: DataFrame, key: str, g: str) -> DataFrame:
+        n = F.size(g)
+        need = F.ceil((1 - t) * F.col("n") - 1e-9).cast("int")
         w = Window.partitionBy(key).orderBy("count", "w")
-        rows = df.select(key, n.alias("n"), F.explode("g").alias("w")).join(freq, "w").withColumn("k", F.row_number().over(w))
-        # two sets within t share at least ceil((1 - t) n) of n grams
-        return rows.where(F.col("k") <= F.col("n") - F.ceil((1 - t) * F.col("n") - 1e-9) + 1).select(key, "n", "w")
+        rows = df.select(key, n.alias("n"), F.explode(g).alias("w")).join(freq, "w").withColumn("k", F.row_number().over(w))
+        rows = rows.withColumn("c", F.least(F.lit(common), need))
+        return rows.where(F.col("k") <= F.col("n") - need + F.col("c")).select(key, F.col("n").alias(f"n{key}"), F.col("c").alias(f"c{key}"), "w")
 
-    cand = (
-        prefix(xs, "x").withColumnRenamed("n", "nx").join(prefix(ys, "y").withColumnRenamed("n", "ny"), "w")
-        .where(F.least("nx", "ny") >= (1 - t) * F.greatest("nx", "ny") - 1e-9).select("x", "y").distinct()
-    )
-    found = cand.withColumn("d", D.qgrams(F.col("x"), F.col("y"), q))
+    met = prefix(xs, "x", "gx").join(prefix(ys, "y", "gy"), "w").where(F.least("nx", "ny") >= (1 - t) * F.greatest("nx", "ny") - 1e-9)
+    cand = met.groupBy("x", "y").agg(F.count("*").alias("k"), F.min(F.least("cx", "cy")).alias("c")).where("k >= c").select("x", "y")
+    found = cand.join(xs, "x").join(ys, "y").select("x", "y", D.jaccard(F.col("gx"), F.col("gy")).alias("d"))
     return _back(a, b, found.where(F.col("d") <= t if inclusive else F.col("d") < t))
 
 

@@ -121,6 +121,22 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
 
 
+def _strides(ws: Workspace, steps: DataFrame, most: int = 4, growth: int = 24) -> DataFrame:
+    """``node, next, w``: least weights of up to ``2 ** most`` edges at once, so
+    that a deep search needs fewer rounds; doubling ends early if the table gets
+    more than ``growth`` times as large as that of the edges."""
+    n, cur = None, steps
+    for k in range(most):
+        two = cur.join(cur.select(F.col("node").alias("next"), F.col("next").alias("far"), F.col("w").alias("w2")), "next")
+        nxt = cur.unionAll(two.select("node", F.col("far").alias("next"), (F.col("w") + F.col("w2")).alias("w")))
+        nxt = ws.cut(nxt.groupBy("node", "next").agg(F.min("w").alias("w")).select("node", "next", "w"), f"stride{k}")
+        n = steps.count() if n is None else n
+        if nxt.count() > growth * n:
+            break
+        cur = nxt
+    return cur
+
+
 def _spread(start: DataFrame, edges: DataFrame, keys: list[str], walls: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Minimal ``d`` of every ``keys, node`` reached from ``start`` (``keys, node,
     d``).  Rows whose keys and node are in ``walls`` are reached but not left."""
@@ -128,6 +144,8 @@ def _spread(start: DataFrame, edges: DataFrame, keys: list[str], walls: DataFram
     on = [*keys, "node"]
     steps = edges.groupBy("src", "dst").agg(F.min("w").alias("w"))
     steps = ws.cut(steps.select(F.col("src").alias("node"), F.col("dst").alias("next"), "w"), "edges")
+    if walls is None and most is None:
+        steps = _strides(ws, steps)
     best = ws.cut(start.groupBy(*on).agg(F.min("d").alias("d")), "best0")
     front, k = best, 0
     while (most is None or k < most) and front.limit(1).count():

