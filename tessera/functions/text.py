@@ -226,7 +226,8 @@ def metaphone_code(word: str) -> str:
 
 def _phonetic(code: Callable[[str], str], c: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
-        return s.map({v: code(v) for v in s.dropna().unique()})
+        known = {v: code(v) for v in s.dropna().unique()}
+        return pd.Series([known.get(v) if isinstance(v, str) else None for v in s], dtype=object)
 
     return F.pandas_udf(run, T.StringType())(c)
 

@@ -121,7 +121,7 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
 
 
-def _strides(ws: Workspace, steps: DataFrame, most: int = 4, growth: int = 24) -> DataFrame:
+def _strides(ws: Workspace, steps: DataFrame, most: int = 12, growth: int = 64) -> DataFrame:
     """``node, next, w``: least weights of up to ``2 ** most`` edges at once, so
     that a deep search needs fewer rounds; doubling ends early if the table gets
     more than ``growth`` times as large as that of the edges."""
@@ -131,9 +131,12 @@ def _strides(ws: Workspace, steps: DataFrame, most: int = 4, growth: int = 24) -
         nxt = cur.unionAll(two.select("node", F.col("far").alias("next"), (F.col("w") + F.col("w2")).alias("w")))
         nxt = ws.cut(nxt.groupBy("node", "next").agg(F.min("w").alias("w")).select("node", "next", "w"), f"stride{k}")
         n = steps.count() if n is None else n
-        if nxt.count() > growth * n:
+        size, before = nxt.count(), cur.count()
+        if size > growth * n:
             break
         cur = nxt
+        if size == before:  # all that can be reached in any number of steps
+            break
     return cur
 
 
