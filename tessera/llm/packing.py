@@ -3,7 +3,8 @@
 Items are hashed to partitions of bounded size and packed there by best-fit
 decreasing.  Dual feasible functions give a lower bound on the number of
 containers each partition needs; a partition that meets its bound is certified
-and done.  Partitions with a gap keep their containers without unused space and
+and done.  One that doesn't places the items of its containers with room again,
+by subset sums.  Partitions that still have a gap keep their containers without unused space and
 exchange the items of all others: these are hashed anew, over fewer partitions,
 and packed again, until everything is certified or one partition holds what is
 left.  A repacking that needs more containers than before is dropped.
@@ -51,6 +52,37 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
+def refill(sizes: list[int], capacity: int, window: int = 1000) -> list[int]:
+    """Container number of each item, filled one after the other: the largest
+    item left, and those of the others whose sum comes closest to the room it
+    leaves (a subset sum over at most about ``window`` items spread over all
+    sizes, as bits of a number)."""
+    left = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    out, n = [0] * len(sizes), 0
+    while left:
+        seed, rest = left[0], left[1:]
+        room, taken = capacity - sizes[seed], set()
+        step = max(1, len(rest) // window)
+        near = [i for i in rest[n % step :: step] if sizes[i] <= room]
+        mask, goal, reach = (1 << (room + 1)) - 1, 1 << room, [1]
+        for i in near:
+            if reach[-1] & goal:
+                break
+            reach.append(reach[-1] | (reach[-1] << sizes[i]) & mask)
+        k, total = len(reach) - 1, reach[-1].bit_length() - 1
+        while total:
+            while reach[k - 1] >> total & 1:
+                k -= 1
+            taken.add(near[k - 1])
+            total -= sizes[near[k - 1]]
+            k -= 1
+        for i in (seed, *taken):
+            out[i] = n
+        left = [i for i in rest if i not in taken]
+        n += 1
+    return out
+
+
 def lower_bound(histogram: np.ndarray, capacity: int) -> int:
     """Containers that items need at least; ``histogram[s]`` items of size
     ``s``, 1..capacity.  The best of two families of dual feasible functions:
@@ -86,9 +118,20 @@ def _pack(items: DataFrame, parts: int, seed: int, capacity: int) -> DataFrame:
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "item", "first"], ascending=[False, True, True]).reset_index(drop=True)
-        bins = np.array(best_fit_decreasing(pdf["size"].tolist(), capacity), np.int32)
-        fill = np.bincount(bins, weights=pdf["size"].to_numpy()).astype(np.int32)
-        need = lower_bound(np.bincount(pdf["size"].to_numpy()), capacity)
+        size = pdf["size"].to_numpy()
+        bins = np.array(best_fit_decreasing(size.tolist(), capacity), np.int32)
+        fill = np.bincount(bins, weights=size).astype(np.int32)
+        need = lower_bound(np.bincount(size), capacity)
+        if len(fill) > need:
+            # a gap: the items of all containers with room are placed again
+            loose = np.flatnonzero(fill[bins] < capacity)
+            again = np.array(refill(size[loose].tolist(), capacity), np.int32)
+            open_ = np.unique(bins[loose])
+            if again.max(initial=-1) + 1 < len(open_):
+                bins[loose] = open_[again]
+                _, bins = np.unique(bins, return_inverse=True)
+                bins = bins.astype(np.int32)
+                fill = np.bincount(bins, weights=size).astype(np.int32)
         return pdf.assign(bin=bins, fill=fill[bins], certified=len(fill) == need)[[f.name for f in schema]]
 
     spread = items.select("item", "first", "size", F.pmod(F.xxhash64("item", "first", F.lit(seed)), F.lit(parts)).cast("int").alias("part"))
