@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.plans.runtime import Workspace
+
 COLLATION = "UNICODE"
 
 # Letters of other scripts in the shape of Latin letters.
@@ -108,7 +110,8 @@ def look_alikes(df: DataFrame, text: str, key: str) -> DataFrame:
     equal texts in such classes, dropped at once).
     """
     base = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null and t <> ''")
-    rows = canonical(base, "t").where("canonical <> ''")
+    # written once, as three plans read it
+    rows = Workspace(df.sparkSession, "lookalike").cut(canonical(base, "t").where("canonical <> ''"), "rows")
     texts = rows.select("canonical", "t").distinct()
     mixed = texts.groupBy("canonical").count().where("count > 1").select("canonical")
     rows = rows.join(mixed, "canonical", "left_semi")
