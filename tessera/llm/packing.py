@@ -110,14 +110,14 @@ def _pack(items: DataFrame, parts: int, seed: int, capacity: int) -> DataFrame:
     kind = items.schema["item"].dataType
     schema = T.StructType(
         [
-            T.StructField("item", kind), T.StructField("first", T.LongType()), T.StructField("size", T.IntegerType()),
+            T.StructField("item", kind), T.StructField("row", T.LongType()), T.StructField("first", T.LongType()), T.StructField("size", T.IntegerType()),
             T.StructField("part", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("fill", T.IntegerType()),
             T.StructField("certified", T.BooleanType()),
         ]
     )
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "item", "first"], ascending=[False, True, True]).reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "row"], ascending=[False, True]).reset_index(drop=True)
         size = pdf["size"].to_numpy()
         bins = np.array(best_fit_decreasing(size.tolist(), capacity), np.int32)
         fill = np.bincount(bins, weights=size).astype(np.int32)
@@ -134,7 +134,8 @@ def _pack(items: DataFrame, parts: int, seed: int, capacity: int) -> DataFrame:
                 fill = np.bincount(bins, weights=size).astype(np.int32)
         return pdf.assign(bin=bins, fill=fill[bins], certified=len(fill) == need)[[f.name for f in schema]]
 
-    spread = items.select("item", "first", "size", F.pmod(F.xxhash64("item", "first", F.lit(seed)), F.lit(parts)).cast("int").alias("part"))
+    # by row, not by key: repeated keys must not meet in one partition
+    spread = items.select("item", "row", "first", "size", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(parts)).cast("int").alias("part"))
     return spread.groupBy("part").applyInPandas(pack, schema)
 
 
@@ -159,7 +160,7 @@ def containers(items: DataFrame, key: str, size: str, capacity: int, part_items:
         )
     )
     pool = src.select(
-        "item", (F.floor(F.col("n") / capacity) * capacity).alias("first"), F.pmod("n", F.lit(capacity)).cast("int").alias("size")
+        "item", "row", (F.floor(F.col("n") / capacity) * capacity).alias("first"), F.pmod("n", F.lit(capacity)).cast("int").alias("size")
     ).where("size > 0")
     out, old, n = [whole], None, pool.count()
     for k in range(MOST_ROUNDS):
@@ -177,7 +178,7 @@ def containers(items: DataFrame, key: str, size: str, capacity: int, part_items:
         rest = named.where(~keep)
         before, n = n, rest.count()
         old = (_placed(rest), rest.select("container").distinct().count())
-        pool = rest.select("item", "first", "size")
+        pool = rest.select("item", "row", "first", "size")
         if n == before and parts == math.ceil(n / part_items) and k:
             out.append(old[0])
             break

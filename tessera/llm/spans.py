@@ -298,6 +298,12 @@ def shared_runs(
     return out
 
 
+def _once(runs: DataFrame) -> DataFrame:
+    """One run for each beginning, so that a record holds at most as many as its
+    text has signs, however often it is repeated; combined map-side."""
+    return runs.groupBy("doc", "a").agg(F.max("b").alias("b"))
+
+
 def shared_chars(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
     """``<key>, shared_chars``: for each record with a stretch of at least
     ``length`` signs that also occurs in the text of a record with another key,
@@ -308,17 +314,17 @@ def shared_chars(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
     one key count as one record (their places are laid over each other), so a
     repeated row changes nothing.  Other columns are not read.
     """
-    w = Window.partitionBy("doc").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("doc").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.max("b").over(w), F.lit(0))
-    fresh = shared_runs(docs, key, text, **how).withColumn("n", F.greatest(F.lit(0), F.col("b") - F.greatest("a", seen)))
+    fresh = _once(shared_runs(docs, key, text, **how)).withColumn("n", F.greatest(F.lit(0), F.col("b") - F.greatest("a", seen)))
     return fresh.groupBy(F.col("doc").alias(key)).agg(F.sum("n").cast("bigint").alias("shared_chars"))
 
 
 def spans(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
     """``<key>, start, end``: the same stretches, joined where they overlap or
     touch; places count from 0, ``end`` is exclusive."""
-    w = Window.partitionBy("doc").orderBy("a", "b")
+    w = Window.partitionBy("doc").orderBy("a")
     before = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = shared_runs(docs, key, text, **how).withColumn("new", (F.col("a") > F.coalesce(before, F.lit(-1))).cast("int"))
+    runs = _once(shared_runs(docs, key, text, **how)).withColumn("new", (F.col("a") > F.coalesce(before, F.lit(-1))).cast("int"))
     runs = runs.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(F.col("doc").alias(key), "g").agg(F.min("a").alias("start"), F.max("b").alias("end")).drop("g")
