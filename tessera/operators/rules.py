@@ -141,6 +141,27 @@ def evaluate_thresholds(pairs: DataFrame, reference: DataFrame, steps: int = 100
 NAME_MEASURES = ["qgrams-2", "qgrams-3", "qgrams-4", "qgrams-5", "qgrams-6", "qgrams-8", "qgrams-10", "levenshtein"]
 
 
+#: All name evaluations whose measures and transforms are JVM columns.
+NAME_EVALUATIONS = [(m, x) for m in NAME_MEASURES for x in X.TRANSFORMS]
+
+
+def name_pairs(a: DataFrame, b: DataFrame, measure: str, transform: str, t: float, q: int = 2) -> DataFrame:
+    """``e1, e2, p`` of entities ``uri, label`` within ``t`` by a transform and a
+    measure of ``NAME_EVALUATIONS``: candidates share a q-gram of the transformed
+    label, or all grams if the measure is one of q-grams and lossless joins apply."""
+    from tessera.operators import pairs
+
+    def made(df: DataFrame) -> DataFrame:
+        sets = df.groupBy("uri").agg(X.TRANSFORMS[transform](F.collect_set("label")).alias("v"))
+        return sets.select("uri", F.explode("v").alias("label"))
+
+    if measure.startswith("qgrams-") and t < 1:
+        return pairs.qgram_join(made(a), made(b), t, int(measure.partition("-")[2]))
+    if measure == "levenshtein" and t <= 0.5:
+        return pairs.levenshtein_join(made(a), made(b), t)
+    return pairs.blocked_join(made(a), made(b), lambda c: D.grams(c, q), D.DISTANCES[measure], t)
+
+
 def code_rule(path: str = "code") -> Comparison:
     return Comparison(path, path, D.equality, 0.0, True, transform=X.TRANSFORMS["lc"])
 

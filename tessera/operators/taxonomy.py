@@ -395,3 +395,25 @@ def rdfs_closure(triples: DataFrame) -> DataFrame:
         props.unionAll(name(sub_p, "rdfs:subPropertyOf")).unionAll(name(sub_c, "rdfs:subClassOf")).unionAll(name(broader, "skos:broader"))
         .unionAll(typed.select("s", F.lit("rdf:type").alias("p"), F.col("c").alias("o"))).distinct()
     )
+
+
+def sub_dataset(triples: DataFrame, concepts: DataFrame, member: str = "dcterms:subject") -> DataFrame:
+    """Statements of a small data set about some concepts (``id``): their types,
+    the taxonomy above these, and all labels of what occurs (``s, p, o``)."""
+    types = triples.where(F.col("p") == member).join(concepts.select(F.col("id").alias("s")).distinct(), "s", "left_semi").select("s", "p", "o")
+    types = types.where("o is not null").distinct()
+    broader = from_triples(triples, ["skos:broader"])
+    upper = subsumer_graph(broader, types.select(F.col("o").alias("id")).distinct()).select(F.col("src").alias("s"), F.lit("skos:broader").alias("p"), F.col("dst").alias("o"))
+    known = concepts.select("id").unionAll(types.select("o")).unionAll(upper.select("s")).unionAll(upper.select("o")).toDF("s").distinct()
+    named = triples.where(F.col("p").isin(*LABEL) & F.col("o").isNotNull()).join(known, "s", "left_semi").select("s", F.lit("rdfs:label").alias("p"), "o")
+    return types.unionAll(upper).unionAll(named).distinct()
+
+
+def redirected(ids: DataFrame, redirects: DataFrame, most: int = 5) -> DataFrame:
+    """``id, target`` after following ``id, target`` redirects for up to ``most``
+    steps; what isn't redirected stays."""
+    step = redirects.groupBy(F.col("id").alias("k")).agg(F.min("target").alias("t"))
+    out = ids.select("id", F.col("id").alias("target"))
+    for _ in range(most):
+        out = out.join(step, F.col("target") == F.col("k"), "left").select("id", F.coalesce("t", "target").alias("target"))
+    return out

@@ -456,6 +456,32 @@ def same_as_groups(spark: SparkSession, d: str) -> DataFrame:
     return identity.same_as_groups(matchings(spark, d))
 
 
+@query(f"""WITH RECURSIVE {MATCH}, e AS (SELECT e1 AS a, e2 AS b FROM m UNION SELECT e2, e1 FROM m),
+    r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a, min(b) AS k FROM r GROUP BY a)
+    SELECT DISTINCT coalesce(x.k, s) AS s, p, coalesce(y.k, o) AS o FROM triples LEFT JOIN c x ON s = x.a LEFT JOIN c y ON o = y.a""")
+def rewritten_statements(spark: SparkSession, d: str) -> DataFrame:
+    return identity.rewrite(table(spark, d, "triples").select("s", "p", "o"), matchings(spark, d))
+
+
+@query(f"""WITH {SHORT}, k AS (SELECT DISTINCT e1 AS id FROM matchings WHERE e1 IS NOT NULL), ty AS (SELECT DISTINCT s, o FROM t SEMI JOIN k ON s = id WHERE p = 'dcterms:subject' AND o IS NOT NULL)
+    SELECT s, o FROM ty""")
+def concept_types(spark: SparkSession, d: str) -> DataFrame:
+    t = short_triples(spark, d)
+    ids = table(spark, d, "matchings").select(F.col("e1").alias("id")).where("id is not null")
+    return G.sub_dataset(t, ids).where("p = 'dcterms:subject'").select("s", "o")
+
+
+@query(f"""WITH n AS (SELECT DISTINCT uri, lower(food_name) AS x FROM cul_foods WHERE food_name IS NOT NULL),
+    g AS (SELECT DISTINCT x, substr('###' || x || '###', i, 4) AS g FROM (SELECT DISTINCT x FROM n), unnest(range(1, length(x) + 4)) r(i)),
+    c AS (SELECT x, count(*) AS k FROM g GROUP BY x),
+    h AS (SELECT a.x AS x, b.x AS y, count(*) AS k FROM g a JOIN g b USING (g) GROUP BY 1, 2),
+    f AS (SELECT h.x, h.y, 1 - h.k / (p.k + q.k - h.k) AS d FROM h JOIN c p ON h.x = p.x JOIN c q ON h.y = q.x),
+    e AS (SELECT a.uri AS e1, b.uri AS e2, min(d) AS p FROM f JOIN n a ON f.x = a.x JOIN n b ON f.y = b.x WHERE d <= 0.5 GROUP BY 1, 2)
+    SELECT e1, e2, round(p, 6) AS p FROM e WHERE e1 < e2""")
+def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.duplicates(food_labels(spark, d)[0], 0.5, 4).select("e1", "e2", F.round("p", 6).alias("p"))
+
+
 # ---- taxonomy
 
 
