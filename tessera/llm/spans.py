@@ -209,8 +209,18 @@ def _trees(rows: DataFrame, length: int, kind: str) -> DataFrame:
             return
         kh, texts, s = t.column("kh").to_numpy(), t.column("ctx").to_pylist(), t.column("s").to_numpy()
         docs = t.column("doc").combine_chunks().dictionary_encode().indices.to_numpy()
-        # equal contexts of one document have equal runs: all are kept
-        runs = _subtree(kh, docs, texts, length)
+        # whole prefixes, some MB of text at a time
+        begins = [0, *(np.flatnonzero(kh[1:] != kh[:-1]) + 1).tolist(), len(kh)]
+        signs = np.cumsum([0, *map(len, texts)])
+        runs, a = [], 0
+        while a < len(begins) - 1:
+            b = a + 1
+            while b < len(begins) - 1 and signs[begins[b + 1]] - signs[begins[a]] <= MOST_SIGNS:
+                b += 1
+            x, y = begins[a], begins[b]
+            # equal contexts of one document have equal runs: all are kept
+            runs += [(i + x, p, q) for i, p, q in _subtree(kh[x:y], docs[x:y], texts[x:y], length)]
+            a = b
         if runs:
             i = np.array([r[0] for r in runs])
             yield pa.RecordBatch.from_arrays(
