@@ -128,12 +128,24 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 # ---- hierarchies (p1)
 
 
-@query()
+P1_SQL = f"""WITH RECURSIVE {SHORT},
+    e AS (SELECT DISTINCT s AS c, CASE WHEN trim(o) <> '' THEN o END AS q FROM t WHERE p IN ('skos:broader', 'rdfs:subClassOf') AND trim(s) <> ''),
+    l AS (SELECT c, q FROM e WHERE q IS NOT NULL), n AS (SELECT c AS x FROM e UNION SELECT q FROM l),
+    r AS (SELECT c AS x, q AS a FROM l UNION SELECT r.x, l.q FROM r JOIN l ON r.a = l.c),
+    y AS (SELECT x FROM r WHERE x = a), top AS (SELECT x FROM n WHERE x NOT IN (SELECT c FROM l)),
+    g AS (SELECT n.x, count(r.a) AS d, min(r.a) FILTER (r.a IN (SELECT x FROM y)) AS cyc, min(r.a) FILTER (r.a IN (SELECT x FROM top)) AS root
+          FROM n LEFT JOIN r ON n.x = r.x GROUP BY n.x)"""
+
+
+@query(P1_SQL + """
+    SELECT x AS node, coalesce(cyc, root, x) AS root_node, CASE WHEN cyc IS NULL THEN d WHEN x IN (SELECT x FROM y) THEN -1 ELSE -2 END::INT AS node_depth FROM g""")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchy(parent_links(spark, d))
 
 
-@query()
+@query(P1_SQL + """,
+    z AS (SELECT x, coalesce(root, x) AS root, d FROM g WHERE cyc IS NULL), w AS (SELECT x, a FROM r UNION ALL SELECT x, x FROM n)
+    SELECT z.x AS node, z.root AS root_node, z.d::INT AS node_depth, w.a AS ancestor, (z.d - b.d)::INT AS distance FROM z JOIN w ON z.x = w.x JOIN z b ON w.a = b.x""")
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.paths(parent_links(spark, d))
 
