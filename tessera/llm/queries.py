@@ -78,6 +78,14 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p2_found": """
+        WITH RECURSIVE i AS (SELECT DISTINCT x FROM (SELECT e1 AS x FROM matchings UNION ALL SELECT e2 FROM matchings) WHERE x IS NOT NULL),
+        n AS (SELECT x, coalesce(arg_max(prefix || ':' || substr(x, length(uri) + 1), length(uri)), x) AS y
+              FROM i LEFT JOIN prefixes ON starts_with(x, uri) GROUP BY x),
+        m AS (SELECT DISTINCT a.y AS a, b.y AS b FROM matchings JOIN n a ON e1 = a.x JOIN n b ON e2 = b.x),
+        e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
+        r AS (SELECT y AS a, y AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT a AS record, min(b) AS group_id FROM r GROUP BY a""",
     "p5_found": """
         WITH d AS (SELECT from_idx, to_idx, unnest(sim).d AS d FROM sim_edges),
         s AS (SELECT from_idx, to_idx, min(d) AS score FROM d
