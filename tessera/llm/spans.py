@@ -125,32 +125,37 @@ def contexts(texts: list[str | None], length: int, prefix: int):
         a = b
 
 
-def _scan(docs: DataFrame, key: str, text: str, length: int, prefix: int, with_text: bool) -> DataFrame:
-    kind = docs.schema[key].dataType.simpleString()
+def _scan(docs: DataFrame, length: int, prefix: int, what: str) -> DataFrame:
+    """Contexts of ``doc, text`` rows.  ``what``: ``keys`` for ``kh, doc`` (each
+    pair of a chunk once); ``places`` adds ``th`` (the text's hash), ``s, e, h``;
+    ``texts`` gives ``kh, doc, s, h, ctx``."""
+    kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            col, size = batch.column(text), 0
-            cuts = [0]
-            for i, n in enumerate(col.to_pandas().str.len().fillna(0).tolist()):
+            size, cuts = 0, [0]
+            for i, n in enumerate(batch.column("text").to_pandas().str.len().fillna(0).tolist()):
                 size += n
                 if size > 1 << 21:
                     cuts.append(i + 1)
                     size = 0
             for x, y in zip(cuts, [*cuts[1:], batch.num_rows]):
                 part = batch.slice(x, y - x)
-                texts, keys = part.column(text).to_pylist(), part.column(key)
+                texts, keys = part.column("text").to_pylist(), part.column("doc")
                 for who, kh, s, e, h in contexts(texts, length, prefix):
-                    if with_text:
-                        cut = [texts[i][p:q] for i, p, q in zip(who.tolist(), s.tolist(), e.tolist())]
-                        cols = [pa.array(kh), keys.take(pa.array(who)), pa.array(s), pa.array(h), pa.array(cut, pa.string())]
-                        yield pa.RecordBatch.from_arrays(cols, names=["kh", "doc", "s", "h", "ctx"])
-                    else:
+                    if what == "keys":
                         one = _unique(kh, who)
-                        yield pa.RecordBatch.from_arrays([pa.array(kh[one]), keys.take(pa.array(who[one]))], names=["kh", "doc"])
+                        cols, names = [pa.array(kh[one]), keys.take(pa.array(who[one]))], ["kh", "doc"]
+                    elif what == "places":
+                        i = pa.array(who)
+                        cols, names = [pa.array(kh), keys.take(i), part.column("th").take(i), pa.array(s), pa.array(e), pa.array(h)], ["kh", "doc", "th", "s", "e", "h"]
+                    else:
+                        cut = [texts[i][p:q] for i, p, q in zip(who.tolist(), s.tolist(), e.tolist())]
+                        cols, names = [pa.array(kh), keys.take(pa.array(who)), pa.array(s), pa.array(h), pa.array(cut, pa.string())], ["kh", "doc", "s", "h", "ctx"]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = f"kh bigint, doc {kind}" + (", s int, h bigint, ctx string" if with_text else "")
-    return docs.select(key, text).where(F.col(key).isNotNull() & (F.length(text) >= length)).mapInArrow(run, out)
+    out = {"keys": "", "places": ", th bigint, s int, e int, h bigint", "texts": ", s int, h bigint, ctx string"}[what]
+    return docs.mapInArrow(run, f"kh bigint, doc {kind}{out}")
 
 
 def _unique(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -293,10 +298,20 @@ def shared_runs(
         raise ValueError("0 < prefix <= length")
     ws = Workspace(docs.sparkSession, "spans")
     kind = docs.schema[key].dataType.simpleString()
-    seen = _scan(docs, key, text, length, prefix, False).groupBy("kh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    src = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= length))
+    seen = _scan(src, length, prefix, "keys").groupBy("kh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     keys = ws.cut(seen.where("lo < hi").select("kh"), "prefixes")
-    keys = size_checked(keys, keys.count(), most_keys)
-    rows = ws.cut(_scan(docs, key, text, length, prefix, True).join(keys, "kh"), "contexts")
+    if keys.count() <= most_keys:
+        # few enough to be sent out: contexts are dropped where they are made
+        rows = _scan(src, length, prefix, "texts").join(F.broadcast(keys), "kh")
+    else:
+        # the join shuffles places without text; texts are then cut where they meet
+        src = src.withColumn("th", F.xxhash64("text"))
+        places = _scan(src, length, prefix, "places").join(keys, "kh")
+        whole = src.groupBy("doc", "th").agg(F.first("text").alias("text"))
+        cut = F.substring(F.col("text"), F.col("s") + 1, F.col("e") - F.col("s"))
+        rows = places.join(whole, ["doc", "th"]).select("kh", "doc", "s", "h", cut.alias("ctx"))
+    rows = ws.cut(rows, "contexts")
     big = rows.groupBy("kh").agg(F.sum(F.length("ctx")).alias("n")).where(F.col("n") > most_signs).select("kh")
     big = ws.cut(big, "big")
     n_big = big.count()
