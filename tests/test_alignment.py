@@ -85,10 +85,10 @@ def test_rules_and_links(spark):
     assert got["u", "v"] == pytest.approx(1.0) and ("u", "w") not in got
     assert rules.entities(t, ["name"], ("rdf:type", "F")).collect()[0].name == ["rice"]
     spec = rules.load_spec(
-        '<Silk><Prefixes><Prefix id="gn" namespace="http://g#"/></Prefixes><Interlinks><Interlink id="C"><LinkType>owl:sameAs</LinkType>'
+        '<Links><Prefixes><Prefix id="gn" namespace="http://g#"/></Prefixes><Interlinks><Interlink id="C"><LinkType>owl:sameAs</LinkType>'
         '<SourceDataset var="a"><RestrictTo>?a rdf:type gn:F .</RestrictTo></SourceDataset><TargetDataset var="b"/>'
         '<LinkageRule><Compare metric="jaroWinkler" threshold="0.04" required="true"><TransformInput function="lowerCase"><Input path="?a/gn:name"/></TransformInput>'
-        '<TransformInput function="lowerCase"><Input path="?b/gn:name"/></TransformInput></Compare></LinkageRule></Interlink></Interlinks></Silk>'
+        '<TransformInput function="lowerCase"><Input path="?b/gn:name"/></TransformInput></Compare></LinkageRule></Interlink></Interlinks></Links>'
     )
     assert spec["rule"]["measure"] == "jaro-winkler" and spec["rule"]["required"] and spec["rule"]["left"] == "gn:name"
 
