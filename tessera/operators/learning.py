@@ -23,7 +23,7 @@ def training_data(vectors: DataFrame, reference: DataFrame, thresholds: dict[int
     rows = canonical(vectors).join(ref, ["a", "b"], "left")
     passes = F.lit(False)
     for k, t in thresholds.items():
-        passes = passes | F.coalesce(F.col("dist")[k] <= t, F.lit(False))
+        passes = passes | F.coalesce(F.get("dist", F.lit(k)) <= t, F.lit(False))
     weights = [1.0 if k in thresholds else 0.0 for k in range(max(thresholds) + 1)]
     some = F.exists(F.slice("dist", 1, len(weights)), lambda x: x.isNotNull())
     hard = ~(is_trivial(F.slice("dist", 1, len(weights)), weights) & some)
@@ -45,4 +45,4 @@ def decision_tree(data: DataFrame, places: Sequence[int], depth: int = 5):
 
 
 def with_features(data: DataFrame, places: Sequence[int]) -> DataFrame:
-    return data.select("*", *[F.coalesce(F.col("dist")[k], F.lit(1.0)).alias(f"d{k}") for k in places])
+    return data.select("*", *[F.coalesce(F.get("dist", F.lit(k)), F.lit(1.0)).alias(f"d{k}") for k in places])

@@ -163,7 +163,7 @@ def split_by_confidence(links: DataFrame, least: float) -> tuple[DataFrame, Data
 def write_distances(df: DataFrame, path: str, sep: str = ";") -> None:
     """Quoted CSV of ``e1, e2, lcs, dist`` with one column a distance."""
     n = df.select(F.coalesce(F.max(F.size("dist")), F.lit(0))).first()[0]
-    cols = [F.col("dist")[k].alias(f"d{k}") for k in range(n)]
+    cols = [F.get("dist", F.lit(k)).alias(f"d{k}") for k in range(n)]
     df.select("e1", "e2", "lcs", *cols).write.csv(path, sep=sep, header=True, quoteAll=True)
 
 
