@@ -20,14 +20,17 @@ is an inverted index for the other.
   and the best other's, and of the share of the query's possible score,
   calibrated on at most ``SAMPLE`` pairs whose attributes decide by themselves.
 
-Which words describe (occur in at least ``COMMON`` of the first table's names)
-and what they are called in other languages (words of alternative names that
+Which words describe (occur in at least ``COMMON`` of the first table's names,
+and there beside many different rare words; a name that is hot comes with the
+describing words only) and what they are called in other languages (words of alternative names that
 nearly always come with one of them) is learnt from the tables; shares bound
-both lists.
+both lists.  A record whose name has describing words only is indexed by each of
+them.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -38,6 +41,9 @@ from tessera.plans.runtime import Workspace
 
 #: Shares of records from which a word counts as describing, and as a translation.
 COMMON, RARE = 0.01, 0.0005
+#: Of the different rare words that chance would bring beside a common word, the
+#: share from which it describes.
+SPREAD = 0.1
 K1, B = 1.2, 0.75
 #: Records a pair of postings may multiply to.
 MOST_PAIRS = 250_000
@@ -68,12 +74,18 @@ def vocabulary(names: DataFrame) -> dict[str, str]:
     ``name`` and ``others`` (array).  At most 1/COMMON words a name's length and
     1/RARE translations come to the driver."""
     n = names.count()
-    words = (
-        names.select(F.explode(F.array_distinct(_words(F.col("name")))).alias("w")).groupBy("w").count()
-        .where(F.col("count") >= max(COMMON * n, 3)).select("w")
-    )
-    common = sorted(r[0] for r in words.collect())
-    lit = F.array(*[F.lit(w) for w in common]) if common else F.array().cast("array<string>")
+    own = names.select(F.array_distinct(_words(F.col("name"))).alias("ws"))
+    often = {r["w"]: r["count"] for r in own.select(F.explode("ws").alias("w")).groupBy("w").count().where(F.col("count") >= max(COMMON * n, 3)).collect()}
+    array = lambda ws: F.array(*[F.lit(w) for w in ws]) if ws else F.array().cast("array<string>")
+    # a name may be as frequent as describing words, but only they come with ever other names
+    split = own.select(F.array_intersect("ws", array(sorted(often))).alias("ws"), F.array_except("ws", array(sorted(often))).alias("rare"))
+    rare = split.select(F.explode("rare").alias("r")).distinct().count()
+    named = split.where(F.size("rare") > 0).count() / max(n, 1)
+    beside = split.select(F.explode("ws").alias("w"), "rare").select("w", F.explode("rare").alias("r")).groupBy("w").agg(F.countDistinct("r").alias("k"))
+    spread = {r["w"]: r["k"] for r in beside.collect()}
+    chance = lambda k: rare * (1 - math.exp(-k * named / rare)) if rare else 0
+    common = sorted(w for w, k in often.items() if spread.get(w, 0) >= SPREAD * chance(k))
+    lit = array(common)
     alt = names.select(_words(F.col("name")).alias("own"), F.explode("others").alias("o")).select(
         "own", F.explode(F.array_distinct(F.array_except(F.array_except(_words(F.col("o")), "own"), lit))).alias("t")
     )
@@ -88,7 +100,8 @@ def vocabulary(names: DataFrame) -> dict[str, str]:
 
 
 def _describe(df: DataFrame, vocab: dict[str, str], parts: Column, more_words: Column) -> DataFrame:
-    """Adds ``names`` (proper names, blanks taken out) and ``words``."""
+    """Adds ``names`` (proper names, blanks taken out; without any, all words of
+    the names) and ``words``."""
     pairs = [F.lit(x) for kv in sorted(vocab.items()) for x in kv]
     table = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(""))
     # numbers are no names; short forms like "Abc." say nothing
@@ -96,9 +109,10 @@ def _describe(df: DataFrame, vocab: dict[str, str], parts: Column, more_words: C
     clean = F.transform(clean, lambda p: _words(F.regexp_replace(p, r"(?<!\p{L})\p{L}{1,4}\.", " ")))
     df = df.withColumn("_t", clean)
     proper = F.transform("_t", lambda ws: F.array_join(F.filter(ws, lambda w: F.element_at(table, w).isNull()), ""))
+    proper = F.array_distinct(F.filter(proper, lambda x: F.length(x) >= 4))
     said = F.concat(F.flatten("_t"), _words(F.coalesce(more_words, F.lit(""))))
     return (
-        df.withColumn("names", F.array_distinct(F.filter(proper, lambda x: F.length(x) >= 4)))
+        df.withColumn("names", F.when(F.size(proper) > 0, proper).otherwise(F.array_sort(F.array_distinct(F.flatten("_t")))))
         .withColumn("words", F.array_sort(F.array_distinct(F.filter(F.transform(said, lambda w: F.element_at(table, w)), lambda w: w.isNotNull()))))
         .drop("_t")
     )
@@ -145,7 +159,7 @@ def _parts(names: Column) -> Column:
     def of(s: Column) -> Column:
         one = _dropped(s)
         return (
-            F.when(F.length(s) > LONG_NAME, F.array(s))
+            F.when((F.length(s) > LONG_NAME) | (F.length(s) < 4), F.array(s))
             .when(F.length(s) < 6, F.concat(F.array(s), one))
             .otherwise(F.concat(F.array(s), one, F.flatten(F.transform(one, _dropped))))
         )
@@ -253,7 +267,7 @@ def match(a: DataFrame, b: DataFrame, tolerance: float = TOLERANCE, sample: int
     """``e1, e2, p``: pairs of records of ``a`` and ``b`` (``uri, names, words,
     amount, tags``) that mean the same, with confidence ``p`` between 0 and 1.
 
-    Records without a proper name match nothing; null attributes neither help
+    Records without a name match nothing; null attributes neither help
     nor contradict; copies in either table match alike; empty tables give no
     rows.  Nothing is capped.
     """

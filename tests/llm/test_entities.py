@@ -67,3 +67,27 @@ def test_vocabulary_is_learnt(spark):
     cul, _, _ = made(250)
     v = E.vocabulary(spark.createDataFrame([(c[1], c[2] or []) for c in cul], "name string, others array<string>"))
     assert all(v[f] == e for e, f in KINDS.items()) and v["beans"] == "bean" and set(PREPS) <= set(v)
+
+
+def test_hot_name_is_no_vocabulary(spark):
+    cul, wik, truth = made(240)
+    nothing = (None,) * 4
+    for k in range(120):
+        kind, prep = list(KINDS)[k % 4], PREPS[k // 4 % 5]
+        kcal = round(40 * 1.05 ** k, 1)
+        cul.append((f"cul:h{k:04}", f"{prep.title()} Kozimaduna {kind}", None, None, kcal, *nothing, None))
+        wik.append((f"wik:h{k:04}", f"{prep} {'kozimaduna' if k % 2 else 'kozmaduna'} {kind}s", None, None, int(kcal * E.KJ), None, None, None, None, None))
+        truth.add((f"cul:h{k:04}", f"wik:h{k:04}"))
+    v = E.vocabulary(spark.createDataFrame([(c[1], c[2] or []) for c in cul], "name string, others array<string>"))
+    assert "kozimaduna" not in v and set(PREPS) | set(KINDS) <= set(v)
+    found = {k for k, p in run(spark, cul, wik).items() if p >= 0.5}
+    hot = {x for x in truth if x[0].startswith("cul:h")}
+    assert len(found & hot) >= 0.95 * len(hot) and len(found & truth) >= 0.93 * len(truth)
+
+
+def test_name_of_common_words_only(spark):
+    """Few records: the name can't be told from describing words."""
+    nothing = (None,) * 5
+    cul = [(f"cul:{k}", f"{PREPS[k // 3].title()} Kozimaduna {list(KINDS)[k % 3]}", None, None, 100.0 * (k + 1), *nothing) for k in range(9)]
+    wik = [(f"wik:{k}", c[1].upper() if k % 2 else c[1].replace("Kozi", "Kozzi"), None, None, int(c[4] * E.KJ), *nothing) for k, c in enumerate(cul)]
+    assert {(f"cul:{k}", f"wik:{k}") for k in range(9)} <= set(run(spark, cul, wik))
