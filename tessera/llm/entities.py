@@ -11,7 +11,9 @@ is an inverted index for the other.
   postings of name parts alone find every record above this floor (and those
   below it that share a part); the long postings of words, places, makers and
   sizes are never joined.  Name parts whose postings multiply to more than
-  ``most_pairs`` make candidates only together with another agreeing term.
+  ``most_pairs`` make candidates together with another agreeing term, or where
+  the exact check passes without one; so only pairs that the check drops are
+  missing (the calibration doesn't see these).
 * An exact check drops candidates that contradict each other: describing words
   the other lacks, or amounts further apart than ``tolerance``.
 * A pair stands if each is the other's nearest, up to copies: records of one
@@ -47,6 +49,8 @@ SPREAD = 0.1
 K1, B = 1.2, 0.75
 #: Records a pair of postings may multiply to.
 MOST_PAIRS = 250_000
+#: Shares that a hot posting is dealt into.
+SALT = 16
 #: Pairs that the logistic function is fitted on, at most.
 SAMPLE = 20_000
 TOLERANCE = 0.04
@@ -184,7 +188,7 @@ def _idf(df: Column, n: int) -> Column:
     return F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
 
 
-def candidates(a: DataFrame, b: DataFrame, ws: Workspace, most_pairs: int = MOST_PAIRS) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, ws: Workspace, most_pairs: int = MOST_PAIRS, tolerance: float = TOLERANCE) -> DataFrame:
     """``e1, e2, s1, s2, told, most``: for every record ``e2`` of ``b`` as a
     query, the records of ``a`` that share a name part; no other record scores
     above the sum of the query's other terms' largest weights.
@@ -222,7 +226,15 @@ def candidates(a: DataFrame, b: DataFrame, ws: Workspace, most_pairs: int = MOST
             .join(right.join(hot.select("t"), "t", "left_semi").join(tb.withColumnRenamed("uri", "e2"), "e2"), ["t", "u"])
             .where(F.col("u") == F.array_min(F.array_intersect("all_a", "all_b")))
         )
-        hits = hits.unionAll(more.select("e1", "e2", "wa", "wb"))
+        # or by the hot part alone: the query tells no words, and amounts don't contradict
+        salt = F.array(*[F.lit(i) for i in range(SALT)])
+        bare_a, bare_b = (recs[x].select(F.col("uri").alias(e), F.col("words").alias(f"words_{x}"), F.col("amount").alias(f"amount_{x}"), F.transform("ts", lambda y: y["t"]).alias(f"all_{x}")) for x, e in (("a", "e1"), ("b", "e2")))
+        alone = (
+            left.join(hot, "t").join(bare_a, "e1").withColumn("salt", F.pmod(F.xxhash64("e1"), F.lit(SALT)).cast("int"))
+            .join(right.join(hot.select("t"), "t", "left_semi").join(bare_b.where(F.size("words_b") == 0), "e2").withColumn("salt", F.explode(salt)), ["t", "salt"])
+            .where(_agrees(tolerance) & ~F.arrays_overlap("all_a", "all_b"))
+        )
+        hits = hits.unionAll(more.select("e1", "e2", "wa", "wb")).unionAll(alone.select("e1", "e2", "wa", "wb"))
     pairs = hits.groupBy("e1", "e2").agg(F.sum("wa").alias("na"), F.sum("wb").alias("nb"))
     side = lambda x, e: recs[x].select(F.col("uri").alias(e), *[F.col(c).alias(f"{c}_{x}") for c in ("f", "ts", "words", "amount")])
     full = pairs.join(side("a", "e1"), "e1").join(side("b", "e2"), "e2")
@@ -273,7 +285,7 @@ def match(a: DataFrame, b: DataFrame, tolerance: float = TOLERANCE, sample: int
     """
     ws = Workspace(a.sparkSession, "entities")
     key_a = a.select(F.col("uri").alias("e1"), F.xxhash64(F.concat_ws("|", F.get("names", F.lit(0)), "words")).alias("food"))
-    pairs = candidates(a, b, ws, most_pairs).join(key_a, "e1").withColumn("ok", _agrees(tolerance))
+    pairs = candidates(a, b, ws, most_pairs, tolerance).join(key_a, "e1").withColumn("ok", _agrees(tolerance))
     pairs = ws.cut(pairs.withColumn("share", F.when(F.col("most") > 0, F.col("told") / F.col("most")).otherwise(0.0)), "pairs")
     by2, by1 = Window.partitionBy("e2"), Window.partitionBy("e1")
 

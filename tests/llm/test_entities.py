@@ -91,3 +91,11 @@ def test_name_of_common_words_only(spark):
     cul = [(f"cul:{k}", f"{PREPS[k // 3].title()} Kozimaduna {list(KINDS)[k % 3]}", None, None, 100.0 * (k + 1), *nothing) for k in range(9)]
     wik = [(f"wik:{k}", c[1].upper() if k % 2 else c[1].replace("Kozi", "Kozzi"), None, None, int(c[4] * E.KJ), *nothing) for k, c in enumerate(cul)]
     assert {(f"cul:{k}", f"wik:{k}") for k in range(9)} <= set(run(spark, cul, wik))
+
+
+def test_hot_part_alone(spark):
+    schema = "uri string, names array<string>, words array<string>, amount double, tags array<string>"
+    a = spark.createDataFrame([("a1", ["kozimaduna"], ["red"], None, []), ("a2", ["bolutige"], ["red"], 200.0, []), ("a3", ["lanuvepo"], [], 100.0, [])], schema)
+    b = spark.createDataFrame([("b1", ["kozimaduna"], [], 300.0, ["o:QB"]), ("b2", ["bolutige"], [], None, []), ("b3", ["lanuvepo"], [], 150.0, [])], schema)
+    for most in (E.MOST_PAIRS, 0):
+        assert {(r.e1, r.e2) for r in E.match(a, b, most_pairs=most).collect()} == {("a1", "b1"), ("a2", "b2")}
