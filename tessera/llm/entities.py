@@ -6,10 +6,12 @@ that misspelt names share terms), the describing words of its names in one
 language, place, maker, category, and the size class of its amount.  Each table
 is an inverted index for the other.
 
-* Pruning is exact (MaxScore): a record that shares no name part with a query
-  can't score above the sum of the query's other terms' largest weights, so
-  postings of name parts alone find every record above this floor (and those
-  below it that share a part); the long postings of words, places, makers and
+* Candidates are the records that share a name part with the query; this isn't a
+  top-k over all postings.  Any other record scores at most the sum of the query's
+  other terms' largest weights, but below this floor nothing is looked for, so a
+  food whose names share no part is lost whatever else agrees: three letters
+  changed (two in short names, one in names over ``LONG_NAME``), a shortened name,
+  a name with a digit.  The long postings of words, places, makers and
   sizes are never joined.  Name parts whose postings multiply to more than
   ``most_pairs`` make candidates together with another agreeing term, or where
   the exact check passes without one; so only pairs that the check drops are
