@@ -139,13 +139,16 @@ def one_against_all(label: str, b: DataFrame, measures: dict[str, Callable[[Colu
     return rows.groupBy("e2").agg(*[F.min(k).alias(k) for k in measures])
 
 
-def vectors(pairs: DataFrame, a: DataFrame, b: DataFrame, measures: Sequence[str] = tuple(D.VECTOR), prefilter: float | None = None) -> DataFrame:
-    """Distance vectors of candidate pairs ``e1, e2``: one column a measure, the
+def vectors(pairs: DataFrame | None, a: DataFrame, b: DataFrame, measures: Sequence[str] = tuple(D.VECTOR), prefilter: float | None = None) -> DataFrame:
+    """Distance vectors of candidate pairs ``e1, e2`` (None: all pairs): one column a measure, the
     best over all labels (scores: the largest).  ``prefilter`` keeps pairs with
     some distance of at most it."""
     xs, ys = sides(a, b)
-    rows = pairs.select("e1", "e2").distinct().join(xs, "e1").join(ys, "e2")
-    texts = rows.select("x", "y").distinct()
+    if pairs is None:
+        rows, texts = xs.crossJoin(ys), xs.select("x").distinct().crossJoin(ys.select("y").distinct())
+    else:
+        rows = pairs.select("e1", "e2").distinct().join(xs, "e1").join(ys, "e2")
+        texts = rows.select("x", "y").distinct()
     made = D.vector(F.col("x"), F.col("y"))
     texts = texts.select("x", "y", *[made[m].alias(m) for m in measures])
     scores = D.VECTOR[:5]

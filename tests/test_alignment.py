@@ -141,3 +141,18 @@ def test_service(spark):
     assert links.table.count() == 0
     ids = spark.createDataFrame([(1,), (2,), (3,)], "i int")
     assert {r.kind: r.n for r in service.dashboard(ids, e, 0.2).collect()} == {"exact": 1, "none": 2}
+
+
+def test_distance_vectors_of_all_pairs(spark, tmp_path):
+    from tessera.plans import queries
+
+    cul = ["Beurre manie", "early kofobazava barley", "Roasted oats", None]
+    wik = ["Beurre monté", "barley, kofobazava, early", "tosated oats", "xyz", "12", None]
+    spark.createDataFrame([(f"c{k}", x) for k, x in enumerate(cul)], "uri string, food_name string").write.parquet(f"{tmp_path}/cul_foods.parquet")
+    spark.createDataFrame([(f"w{k}", x) for k, x in enumerate(wik)], "uri string, label string").write.parquet(f"{tmp_path}/wik_foods.parquet")
+    got = {(r.e1, r.e2): r for r in queries.distance_vectors(spark, str(tmp_path)).collect()}
+    names = [(f"c{i}", f"w{j}", x.lower(), y.lower()) for i, x in enumerate(cul) for j, y in enumerate(wik) if x and y]
+    m = D.vector(F.col("x"), F.col("y"))
+    rows = spark.createDataFrame(names, "e1 string, e2 string, x string, y string").select("e1", "e2", *[c.alias(k) for k, c in m.items()]).collect()
+    assert set(got) == {(r.e1, r.e2) for r in rows if min(r[k] for k in D.VECTOR[5:]) <= 0.4}
+    assert abs(got["c0", "w0"].slv - 0.25) < 1e-9 and got["c0", "w0"].qgr > 0.3 and ("c1", "w1") in got and ("c0", "w4") not in got
