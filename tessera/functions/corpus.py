@@ -46,16 +46,21 @@ def tfidf(a: DataFrame, b: DataFrame, weights: DataFrame, least: float = 0.0) ->
     return hits.groupBy("id1", "id2").agg(F.sum(F.col("v1") * F.col("v2")).alias("sim")).where(F.col("sim") > least)
 
 
-def soft_tfidf(a: DataFrame, b: DataFrame, weights: DataFrame, inner: Callable[[Column, Column], Column], theta: float, least: float = 0.0, block: int = 1) -> DataFrame:
+def soft_tfidf(a: DataFrame, b: DataFrame, weights: DataFrame, inner: Callable[[Column, Column], Column], theta: float, least: float = 0.0, block: int = 1, others: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """``id1, id2, sim``: tokens may match others with an inner similarity of at
     least ``theta``; each token of the first takes its closest.  Token pairs are
     made once per distinct pair that shares its first ``block`` signs (0: all
-    pairs of the two vocabularies by length, which must be small)."""
+    pairs of the two vocabularies, which must be small) or that ``others`` names:
+    from both vocabularies, ``x`` and ``y``, the pairs with other first signs that
+    ``inner`` may bring to ``theta``.  Without it these are lost."""
     x, y = unit_vectors(a, weights), unit_vectors(b, weights)
     head = lambda c: F.substring(c, 1, block) if block else F.lit("")
     tx = x.select(F.col("token").alias("t1")).distinct().withColumn("h", head(F.col("t1")))
     ty = y.select(F.col("token").alias("t2")).distinct().withColumn("h", head(F.col("t2")))
-    near = tx.join(ty, "h").select("t1", "t2", inner(F.col("t1"), F.col("t2")).alias("s")).where(F.col("s") >= theta)
+    pairs = tx.join(ty, "h").select("t1", "t2")
+    if others and block:
+        pairs = pairs.union(others(tx.select(F.col("t1").alias("x")), ty.select(F.col("t2").alias("y")))).distinct()
+    near = pairs.select("t1", "t2", inner(F.col("t1"), F.col("t2")).alias("s")).where(F.col("s") >= theta)
     hits = x.select(F.col("id").alias("id1"), F.col("token").alias("t1"), F.col("v").alias("v1")).join(near, "t1").join(
         y.select(F.col("id").alias("id2"), F.col("token").alias("t2"), F.col("v").alias("v2")), "t2"
     )

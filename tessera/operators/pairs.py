@@ -106,6 +106,44 @@ def levenshtein_join(a: DataFrame, b: DataFrame, t: float, inclusive: bool = Tru
     return _back(a, b, found.where(F.col("d") <= t if inclusive else F.col("d") < t).select("x", "y", "d").distinct())
 
 
+def jaro_candidates(xs: DataFrame, ys: DataFrame, t: float) -> DataFrame:
+    """``x, y``: the pairs of texts ``x`` and ``y`` whose textbook Jaro distance may
+    be at most ``t`` (0 <= t < 2/3).  Lossless.
+
+    Texts of m and n signs within ``t`` match c >= (2 - 3t) m n / (m + n) signs, so
+    they share c elements (sign, how often before): three of the rarest m - c + 3
+    of one and n - c + 3 of the other (fewer if c is less).  Each set of three is a
+    key, once for every length that a partner may have."""
+    if not 0 <= t < 2 / 3:
+        raise ValueError("0 <= t < 2/3")
+    xs, ys = xs.select("x").dropna().distinct(), ys.select("y").dropna().distinct()
+    ws = Workspace(xs.sparkSession, "jaro")
+
+    def bags(df: DataFrame, key: str) -> DataFrame:
+        at = df.where(F.length(key) > 0).select(key, F.explode(F.sequence(F.lit(1), F.length(key))).alias("i"))
+        signs = at.select(key, "i", F.substring(F.col(key), F.col("i"), F.lit(1)).alias("sign"))
+        return signs.select(key, "sign", F.row_number().over(Window.partitionBy(key, "sign").orderBy("i")).alias("nth"))
+
+    bx, by = ws.cut(bags(xs, "x"), "x"), ws.cut(bags(ys, "y"), "y")
+    freq = bx.drop("x").unionAll(by.drop("y")).groupBy("sign", "nth").count()
+    size = lambda df, key, n: df.groupBy(key).agg(F.count("*").cast("int").alias(n)).select(n).distinct()
+    least = F.ceil((2 - 3 * t) * F.col("m") * F.col("n") / (F.col("m") + F.col("n")) - 1e-9).cast("int")
+    lens = size(bx, "x", "m").crossJoin(size(by, "y", "n")).withColumn("c", F.greatest(F.lit(1), least)).where(F.col("c") <= F.least("m", "n"))
+
+    def keys(df: DataFrame, key: str, n: str) -> DataFrame:
+        bag = df.join(freq, ["sign", "nth"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("count", "sign", "nth"))).alias("bag"))
+        some = F.least(F.lit(3), "c")
+        rows = bag.withColumn(n, F.size("bag")).join(lens, n).withColumn("bag", F.slice("bag", F.lit(1), F.col(n) - F.col("c") + some))
+        rows = rows.withColumn("bag", F.transform("bag", lambda e: F.xxhash64(e["sign"], e["nth"])))
+        after = lambda i: F.slice("bag", i + 2, F.size("bag"))
+        two = F.flatten(F.transform("bag", lambda e, i: F.transform(after(i), lambda f: F.xxhash64(e, f))))
+        three = F.flatten(F.transform("bag", lambda e, i: F.flatten(F.transform(after(i), lambda f, j: F.transform(after(i + j + 1), lambda g: F.xxhash64(e, f, g))))))
+        return rows.select(key, "m", "n", F.explode(F.when(some == 3, three).when(some == 2, two).otherwise(F.col("bag"))).alias("k"))
+
+    empty = xs.where("x = ''").crossJoin(ys.where("y = ''"))
+    return keys(bx, "x", "m").join(keys(by, "y", "n"), ["m", "n", "k"]).select("x", "y").unionAll(empty).distinct()
+
+
 def equality_join(a: DataFrame, b: DataFrame, key: Callable[[Column], Column] = F.lower) -> DataFrame:
     """``e1, e2, p`` (p = 0) of entities with an equal key of some label."""
     a, b = sides(a, b)

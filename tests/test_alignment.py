@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tessera.functions import corpus
 from tessera.functions import distance as D
 from tessera.operators import alignment as AL
 from tessera.operators import learning, pairs, patterns, rules, service
@@ -156,3 +157,25 @@ def test_distance_vectors_of_all_pairs(spark, tmp_path):
     rows = spark.createDataFrame(names, "e1 string, e2 string, x string, y string").select("e1", "e2", *[c.alias(k) for k, c in m.items()]).collect()
     assert set(got) == {(r.e1, r.e2) for r in rows if min(r[k] for k in D.VECTOR[5:]) <= 0.4}
     assert abs(got["c0", "w0"].slv - 0.25) < 1e-9 and got["c0", "w0"].qgr > 0.3 and ("c1", "w1") in got and ("c0", "w4") not in got
+
+
+def test_jaro_candidates_and_soft_tfidf_lose_nothing(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(150)] + ["roasted", "toasted", "kofobazava", "mofobazava", ""]
+    xs, ys = (spark.createDataFrame([(w,) for w in words], c) for c in ("x string", "y string"))
+    for t in (0.1, 0.3):
+        got = {(r.x, r.y) for r in pairs.jaro_candidates(xs, ys, t).collect()}
+        both = [(p, q) for p in set(words) for q in set(words)]
+        d = D.jaro_values([p for p, _ in both], [q for _, q in both], False)
+        assert {k for k, v in zip(both, d) if v <= t} <= got
+    docs = spark.createDataFrame([("c0", "roasted oats"), ("c1", "toasted bread")], "id string, label string")
+    near = corpus.soft_tfidf(docs, docs, corpus.idf(docs), lambda a, b: 1 - D.jaro_winkler_standard(a, b), 0.9, others=lambda x, y: pairs.jaro_candidates(x, y, 0.1))
+    assert ("c0", "c1") in {(r.id1, r.id2) for r in near.collect()}
+
+
+def test_soft_tfidf_query_compares_other_first_letters(spark, tmp_path):
+    from tessera.plans import queries
+
+    spark.createDataFrame([("c0", "roasted"), ("c1", "toasted"), ("c2", "plain bread")], "uri string, food_name string").write.parquet(f"{tmp_path}/cul_foods.parquet")
+    spark.createDataFrame([("w0", "toasted")], "uri string, label string").write.parquet(f"{tmp_path}/wik_foods.parquet")
+    assert {(r.id1, r.id2) for r in queries.soft_tfidf_pairs(spark, str(tmp_path)).collect()} == {("c0", "w0"), ("c1", "w0")}
