@@ -1,68 +1,79 @@
 """Matching entities of two tables without a common key, by cross-table BM25.
 
-A record becomes a set of terms over all its attributes: the parts of its proper
-name (the name and what is left of it when one or two letters are dropped, so
-that misspelt names share terms), the describing words of its names in one
-language, place, maker, category, and the size class of its amount.  Each table
-is an inverted index for the other.
-
-* Candidates are the records that share a name part with the query; this isn't a
-  top-k over all postings.  Any other record scores at most the sum of the query's
-  other terms' largest weights, but below this floor nothing is looked for, so a
-  food whose names share no part is lost whatever else agrees: three letters
-  changed (two in short names, one in names over ``LONG_NAME``), a shortened name,
-  a name with a digit.  The long postings of words, places, makers and
-  sizes are never joined.  Name parts whose postings multiply to more than
-  ``most_pairs`` make candidates together with another agreeing term, or where
-  the exact check passes without one; so only pairs that the check drops are
-  missing (the calibration doesn't see these).
-* An exact check drops candidates that contradict each other: describing words
-  the other lacks, or amounts further apart than ``tolerance``.
-* A pair stands if each is the other's nearest, up to copies: records of one
-  table that tell the same name and words are one entity.
-* The confidence is a logistic function of the gap between the entity's score
-  and the best other's, and of the share of the query's possible score,
-  calibrated on at most ``SAMPLE`` pairs whose attributes decide by themselves.
-
-Which words describe (occur in at least ``COMMON`` of the first table's names,
-and there beside many different rare words; a name that is hot comes with the
-describing words only) and what they are called in other languages (words of alternative names that
-nearly always come with one of them) is learnt from the tables; shares bound
-both lists.  A record whose name has describing words only is indexed by each of
-them.
+A record becomes a set of terms over all its attributes: the words of its names
+and texts, pairs of near words, its class words, maker words, place words and the
+size class of its amount.  Words of names and makers that the other table doesn't
+know (misspelt, split) are looked up by their 5-grams instead; as each letter lies
+in five of them, a gram weighs a fifth.  Each table is an inverted index for the
+other.
+
+* Top-k.  Every record queries the other table's postings for the ``k`` records of
+  largest score, among those that reach the share ``least`` of the query's own
+  weight.  Its terms are ranked by the length of their postings; the sums of the
+  first ``FIRST`` terms' scores give a bound that the true k-th score can't be
+  below.  Terms whose largest possible scores together stay below that bound (or
+  the share) can't bring a record into the result alone, so only the other terms'
+  postings are joined; records whose score there plus all that was left out stays
+  below are dropped, and the rest are scored over all terms.  The result is that of
+  scoring everything (tested), whatever a posting's length.
+* Confidence.  A logistic function of the score gap to the best other entity, of
+  the told words the other lacks, and of the share of the name that agrees.  It is
+  calibrated on an attribute that it doesn't see: whether the amounts agree, which
+  holds for nearly all true pairs and for false ones by chance only.  The chance
+  comes from the amounts' distributions.  A pair's own amounts then weigh in by
+  Bayes' rule.
+* Mutual nearest.  A pair stands if the record of the first table is the other's
+  most confident and its own most confident partner points back, up to copies:
+  records of the first table that tell the same ``entity`` are one.
+
+Words of other languages are learnt from the tables: a word of alternative names
+that nearly always comes with one word of the name is its translation.
+Exact copies of a record are one record until the pairs are written.
 """
 
 from __future__ import annotations
 
-import math
-import re
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.runtime import Workspace
 
-#: Shares of records from which a word counts as describing, and as a translation.
-COMMON, RARE = 0.01, 0.0005
-#: Of the different rare words that chance would bring beside a common word, the
-#: share from which it describes.
-SPREAD = 0.1
-K1, B = 1.2, 0.75
-#: Records a pair of postings may multiply to.
-MOST_PAIRS = 250_000
-#: Shares that a hot posting is dealt into.
-SALT = 16
-#: Pairs that the logistic function is fitted on, at most.
+K1, B = 1.2, 0.3
+#: Neighbours that are retrieved for each record of the second table.
+K = 2
+#: Share of a query's own weight that a record must score to be retrieved, for
+#: queries of the second and of the first table (the first tells more).
+LEAST, LEAST_BACK = 0.45, 0.6
+#: Terms with the shortest postings that give the first bound on the k-th score.
+FIRST = 6
+#: Signs of a gram.
+Q = 5
+#: Pairs that the logistic function is fitted on, at most: those of lowest hash.
 SAMPLE = 20_000
+#: Rows from which a word counts as translated, and the share that must agree.
+SEEN, SURE = 5, 0.8
 TOLERANCE = 0.04
 KJ = 4.184
-#: Names longer than this are indexed whole only.
-LONG_NAME = 24
+#: Kinds of terms.
+WORD, GRAM, PAIR, CLASS, MAKER, MAKER_GRAM, PLACE, SIZE = range(8)
+#: Weights of kinds of terms; others weigh 1.
+FIELDS = {GRAM: 1 / Q, MAKER_GRAM: 1 / Q, CLASS: 0.5, PLACE: 0.5, SIZE: 0.5}
+#: Width of a size class, as a difference of logarithms.
+STEP = 0.15
+FEATURES = ["gap", "miss", "name", "lost", "got"]
 
 
 def _words(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
+    """Lower-case words in order, plural s taken off."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.transform(words, lambda w: F.regexp_replace(w, r"(?<=.{3})s$", ""))
+
+
+def _grams(w: Column) -> Column:
+    s = F.concat(F.lit("#"), w, F.lit("#"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - Q + 1)), lambda i: F.substring(s, i, F.lit(Q))))
 
 
 def _latest(df: DataFrame, key: str, cols: list[str], when: list[str]) -> DataFrame:
@@ -75,243 +86,264 @@ def _latest(df: DataFrame, key: str, cols: list[str], when: list[str]) -> DataFr
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(*pick)
 
 
-def vocabulary(names: DataFrame) -> dict[str, str]:
-    """Describing word or its translation or plural -> the word, learnt from
-    ``name`` and ``others`` (array).  At most 1/COMMON words a name's length and
-    1/RARE translations come to the driver."""
-    n = names.count()
-    own = names.select(F.array_distinct(_words(F.col("name"))).alias("ws"))
-    often = {r["w"]: r["count"] for r in own.select(F.explode("ws").alias("w")).groupBy("w").count().where(F.col("count") >= max(COMMON * n, 3)).collect()}
-    array = lambda ws: F.array(*[F.lit(w) for w in ws]) if ws else F.array().cast("array<string>")
-    # a name may be as frequent as describing words, but only they come with ever other names
-    split = own.select(F.array_intersect("ws", array(sorted(often))).alias("ws"), F.array_except("ws", array(sorted(often))).alias("rare"))
-    rare = split.select(F.explode("rare").alias("r")).distinct().count()
-    named = split.where(F.size("rare") > 0).count() / max(n, 1)
-    beside = split.select(F.explode("ws").alias("w"), "rare").select("w", F.explode("rare").alias("r")).groupBy("w").agg(F.countDistinct("r").alias("k"))
-    spread = {r["w"]: r["k"] for r in beside.collect()}
-    chance = lambda k: rare * (1 - math.exp(-k * named / rare)) if rare else 0
-    common = sorted(w for w, k in often.items() if spread.get(w, 0) >= SPREAD * chance(k))
-    lit = array(common)
-    alt = names.select(_words(F.col("name")).alias("own"), F.explode("others").alias("o")).select(
-        "own", F.explode(F.array_distinct(F.array_except(F.array_except(_words(F.col("o")), "own"), lit))).alias("t")
-    )
-    seen = alt.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= max(RARE * n, 3))
-    both = alt.select("t", F.explode(F.array_intersect("own", lit)).alias("w")).groupBy("t", "w").agg(F.count("*").alias("k"))
-    out = {w: w for w in common}
-    for r in both.join(seen, "t").where("k >= 0.8 * n").orderBy("t", "w").collect():
-        out.setdefault(r["t"], r["w"])
-    for w, v in list(out.items()):
-        out.setdefault(w + "s", v)
-    return out
-
-
-def _describe(df: DataFrame, vocab: dict[str, str], parts: Column, more_words: Column) -> DataFrame:
-    """Adds ``names`` (proper names, blanks taken out; without any, all words of
-    the names) and ``words``."""
-    pairs = [F.lit(x) for kv in sorted(vocab.items()) for x in kv]
-    table = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(""))
-    # numbers are no names; short forms like "Abc." say nothing
-    clean = F.filter(parts, lambda p: p.isNotNull() & ~p.rlike(r"\d"))
-    clean = F.transform(clean, lambda p: _words(F.regexp_replace(p, r"(?<!\p{L})\p{L}{1,4}\.", " ")))
-    df = df.withColumn("_t", clean)
-    proper = F.transform("_t", lambda ws: F.array_join(F.filter(ws, lambda w: F.element_at(table, w).isNull()), ""))
-    proper = F.array_distinct(F.filter(proper, lambda x: F.length(x) >= 4))
-    said = F.concat(F.flatten("_t"), _words(F.coalesce(more_words, F.lit(""))))
-    return (
-        df.withColumn("names", F.when(F.size(proper) > 0, proper).otherwise(F.array_sort(F.array_distinct(F.flatten("_t")))))
-        .withColumn("words", F.array_sort(F.array_distinct(F.filter(F.transform(said, lambda w: F.element_at(table, w)), lambda w: w.isNotNull()))))
-        .drop("_t")
-    )
-
+def translations(names: DataFrame) -> DataFrame:
+    """``word, means``: words of ``others`` (array of alternative names) that come
+    with one word of ``name`` in at least ``SURE`` of at least ``SEEN`` rows."""
+    alt = names.select(_words(F.col("name")).alias("own"), F.array_distinct(F.flatten(F.transform("others", _words))).alias("ts"))
+    alt = alt.select("own", F.explode(F.array_except("ts", "own")).alias("word"))
+    seen = alt.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    both = alt.select("word", F.explode("own").alias("means")).groupBy("word", "means").agg(F.count("*").alias("k"))
+    best = both.groupBy("word").agg(F.max(F.struct("k", "means")).alias("b"))
+    return best.join(seen, "word").where(F.col("b.k") >= SURE * F.col("n")).select("word", "b.means")
 
-def foods(cul: DataFrame, wik: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both vocabularies as records ``uri, names, words, amount, tags``."""
-    cul = _latest(cul, "uri", ["food_name", "alt_names", "country_code", "energy_kcal", "category", "maker"], ["edited_at", "loaded_at"])
-    wik = _latest(wik, "uri", ["label", "aliases", "origin", "energy_kj", "brand", "blurb"], ["edited_at", "loaded_at"])
-    others = F.coalesce("alt_names", F.array().cast("array<string>"))
-    vocab = vocabulary(cul.select(F.col("food_name").alias("name"), others.alias("others")))
-    cats = [r[0] for r in cul.where("category is not null").groupBy("category").count().where(F.col("count") >= COMMON * cul.count()).select("category").collect()]
-    tag = lambda kind, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{kind}:"), c))
-    makers = lambda c: F.transform(_words(F.coalesce(c, F.lit(""))), lambda w: F.concat(F.lit("b:"), w))
-    a = _describe(cul, vocab, F.concat(F.array("food_name"), others), F.lit(None).cast("string"))
-    a = a.select(
-        "uri", "names", "words", F.when(F.col("energy_kcal") > 0, F.col("energy_kcal")).alias("amount"),
-        F.concat(F.array(tag("o", F.col("country_code")), tag("g", F.lower("category"))), makers(F.col("maker"))).alias("tags"),
-    )
-    blurb = F.coalesce("blurb", F.lit(""))
-    sold, kind, called = (F.regexp_extract(blurb, p, 1) for p in (r"(?i)sold as ([^;]*);", r"(?i)is a kind of ([^.]*)", r"(?i)^(.*) is a kind of"))
-    rest = F.lower(F.regexp_replace(blurb, r"(?i)sold as [^;]*;|.* is a kind of .*", ""))
-    cat = F.regexp_extract(rest, "\\b(" + "|".join(re.escape(c.lower()) for c in sorted(cats, key=lambda x: (-len(x), x))) + ")\\b", 1) if cats else F.lit("")
-    code = places.groupBy(F.lower("place_name").alias("_place")).agg(F.min("country_code").alias("_code"))
-    wik = wik.withColumn("_place", F.regexp_replace(F.lower(F.trim("origin")), "^from ", "")).join(code, "_place", "left")
-    b = _describe(wik, vocab, F.concat(F.array("label"), F.split(F.coalesce("aliases", F.lit("")), ";"), F.array(called)), F.concat_ws(" ", sold, kind))
-    b = b.select(
-        "uri", "names", "words", F.when(F.col("energy_kj") > 0, F.col("energy_kj") / KJ).alias("amount"),
-        F.concat(F.array(tag("o", F.col("_code")), tag("g", cat)), makers(F.col("brand"))).alias("tags"),
-    )
-    return a, b
-
-
-def _dropped(s: Column) -> Column:
-    """All strings left when one letter of ``s`` is dropped."""
-    return F.transform(
-        F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
-    )
 
+TERMS = "array<struct<t:bigint,k:int,of:bigint>>"
 
-def _parts(names: Column) -> Column:
-    """Name parts: each name and what is left without one or two letters."""
 
-    def of(s: Column) -> Column:
-        one = _dropped(s)
-        return (
-            F.when((F.length(s) > LONG_NAME) | (F.length(s) < 4), F.array(s))
-            .when(F.length(s) < 6, F.concat(F.array(s), one))
-            .otherwise(F.concat(F.array(s), one, F.flatten(F.transform(one, _dropped))))
-        )
+def _tagged(xs: Column, space: str, kind: int) -> Column:
+    """Terms of strings: their hashes within a name space, and a kind."""
+    return F.transform(F.array_distinct(xs), lambda x: F.struct(F.xxhash64(F.lit(space), x).alias("t"), F.lit(kind).alias("k"), F.lit(0).cast("bigint").alias("of"))).cast(TERMS)
 
-    return F.array_distinct(F.flatten(F.transform(names, of)))
 
+def _gram_terms(xs: Column, space: str, kind: int) -> Column:
+    """Terms of the grams of words, with the hash of the word they come from."""
+    of = lambda x: F.transform(_grams(x), lambda g: F.struct(F.xxhash64(F.lit(space + "#"), g).alias("t"), F.lit(kind).alias("k"), F.xxhash64(F.lit(space), x).alias("of")))
+    return F.flatten(F.transform(F.array_distinct(xs), of)).cast(TERMS)
 
-def _attributes(df: DataFrame, spread: int) -> DataFrame:
-    """Adds ``attrs``: hash and kind of all terms but the name parts; amounts
-    also get the ``spread`` size classes on either side, of no kind."""
-    step = F.floor(F.log("amount") / F.lit(TOLERANCE))
-    sizes = F.when(
-        F.col("amount").isNotNull(),
-        F.array(*[F.concat(F.lit("e:" if not i else "-:"), (step + i).cast("string")) for i in range(-spread, spread + 1)]),
-    ).otherwise(F.array().cast("array<string>"))
-    terms = F.concat(F.transform("words", lambda w: F.concat(F.lit("w:"), w)), F.filter("tags", lambda t: t.isNotNull()), sizes)
-    near = lambda t: F.xxhash64(F.regexp_replace(t, "^-", "e"))
-    return df.withColumn("attrs", F.transform(F.array_distinct(terms), lambda t: F.struct(near(t).alias("t"), F.substring(t, 1, 1).alias("k"))))
 
+def _near(ws: Column) -> Column:
+    """Unordered pairs of different words at most two places apart."""
+    at = lambda w, i, j: F.when(F.get(ws, i + j) != w, F.concat_ws(" ", F.array_sort(F.array(w, F.get(ws, i + j)))))
+    return F.flatten(F.transform(ws, lambda w, i: F.filter(F.array(at(w, i, 1), at(w, i, 2)), lambda x: x.isNotNull())))
 
-def _idf(df: Column, n: int) -> Column:
-    return F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
 
-
-def candidates(a: DataFrame, b: DataFrame, ws: Workspace, most_pairs: int = MOST_PAIRS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``e1, e2, s1, s2, told, most``: for every record ``e2`` of ``b`` as a
-    query, the records of ``a`` that share a name part; no other record scores
-    above the sum of the query's other terms' largest weights.
-
-    ``s1`` is the BM25 score of ``e1`` for the query ``e2``, ``s2`` that of
-    ``e2`` for ``e1``; ``told`` is the part of ``s1`` that isn't the name's, out
-    of ``most`` that the query's terms of kinds both tell could bring.
-    """
-    recs, idfs, posts, counts, n = {}, [], {}, {}, {}
-    for df, tag, spread in ((a, "a", 0), (b, "b", 1)):
-        rec = _attributes(df, spread).withColumn("parts", F.transform(_parts(F.col("names")), lambda x: F.xxhash64(x)))
-        rec = ws.cut(rec.select("uri", "words", "amount", "attrs", "parts"), f"rec_{tag}")
-        n[tag] = rec.count()
-        size = F.size("parts") + F.size("attrs")
-        mean = rec.agg(F.avg(size)).first()[0] or 1.0
-        recs[tag] = rec.withColumn("f", (K1 + 1) / (1 + K1 * (1 - B + B * size / F.lit(mean))))
-        idfs.append(rec.select(F.explode("attrs.t").alias("t")).groupBy("t").count().select("t", _idf(F.col("count"), n[tag]).alias(f"w{tag}")))
-        posts[tag] = rec.select("uri", F.explode("parts").alias("t"))
-        counts[tag] = posts[tag].groupBy("t").agg(F.count("*").alias(f"d{tag}"))
-    idf = ws.cut(idfs[0].join(idfs[1], "t", "full"), "idf").fillna(0.0)
-    for tag in "ab":
-        ts = recs[tag].select("uri", F.inline("attrs")).join(idf, "t").groupBy("uri").agg(F.collect_list(F.struct("t", "k", "wa", "wb")).alias("ts"))
-        none = F.array().cast("array<struct<t:bigint,k:string,wa:double,wb:double>>")
-        recs[tag] = ws.cut(recs[tag].drop("attrs", "parts").join(ts, "uri", "left").withColumn("ts", F.coalesce("ts", none)), f"terms_{tag}")
-    shared = ws.cut(counts["a"].join(counts["b"], "t"), "shared")
-    weights = shared.select("t", _idf(F.col("da"), n["a"]).alias("wa"), _idf(F.col("db"), n["b"]).alias("wb"), (F.col("da") * F.col("db") > most_pairs).alias("hot"))
-    left, right = posts["a"].withColumnRenamed("uri", "e1"), posts["b"].withColumnRenamed("uri", "e2")
-    hits = left.join(weights.where("not hot"), "t").join(right, "t").select("e1", "e2", "wa", "wb")
-    hot = weights.where("hot")
-    if hot.limit(1).count():
-        # a pair once for each hot part: by the smallest term the two share besides
-        ta, tb = (recs[x].select("uri", F.transform("ts", lambda y: y["t"]).alias(f"all_{x}"), F.explode(F.transform("ts", lambda y: y["t"])).alias("u")) for x in "ab")
-        more = (
-            left.join(hot, "t").join(ta.withColumnRenamed("uri", "e1"), "e1")
-            .join(right.join(hot.select("t"), "t", "left_semi").join(tb.withColumnRenamed("uri", "e2"), "e2"), ["t", "u"])
-            .where(F.col("u") == F.array_min(F.array_intersect("all_a", "all_b")))
-        )
-        # or by the hot part alone: the query tells no words, and amounts don't contradict
-        salt = F.array(*[F.lit(i) for i in range(SALT)])
-        bare_a, bare_b = (recs[x].select(F.col("uri").alias(e), F.col("words").alias(f"words_{x}"), F.col("amount").alias(f"amount_{x}"), F.transform("ts", lambda y: y["t"]).alias(f"all_{x}")) for x, e in (("a", "e1"), ("b", "e2")))
-        alone = (
-            left.join(hot, "t").join(bare_a, "e1").withColumn("salt", F.pmod(F.xxhash64("e1"), F.lit(SALT)).cast("int"))
-            .join(right.join(hot.select("t"), "t", "left_semi").join(bare_b.where(F.size("words_b") == 0), "e2").withColumn("salt", F.explode(salt)), ["t", "salt"])
-            .where(_agrees(tolerance) & ~F.arrays_overlap("all_a", "all_b"))
-        )
-        hits = hits.unionAll(more.select("e1", "e2", "wa", "wb")).unionAll(alone.select("e1", "e2", "wa", "wb"))
-    pairs = hits.groupBy("e1", "e2").agg(F.sum("wa").alias("na"), F.sum("wb").alias("nb"))
-    side = lambda x, e: recs[x].select(F.col("uri").alias(e), *[F.col(c).alias(f"{c}_{x}") for c in ("f", "ts", "words", "amount")])
-    full = pairs.join(side("a", "e1"), "e1").join(side("b", "e2"), "e2")
-    total = lambda xs, w: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x[w])
-    both = F.filter("ts_b", lambda x: F.exists("ts_a", lambda y: y["t"] == x["t"]))
-    told = F.filter("ts_b", lambda x: F.exists("ts_a", lambda y: y["k"] == x["k"]))
-    full = full.withColumn("both", both).select(
-        "e1", "e2", "words_a", "words_b", "amount_a", "amount_b",
-        (F.col("f_a") * (F.col("na") + total(F.col("both"), "wa"))).alias("s1"),
-        (F.col("f_b") * (F.col("nb") + total(F.col("both"), "wb"))).alias("s2"),
-        (F.col("f_a") * total(F.col("both"), "wa")).alias("told"),
-        (F.col("f_a") * total(told, "wa")).alias("most"),
+def _terms(df: DataFrame, means: DataFrame, ws: Workspace, tag: str) -> DataFrame:
+    """``uri, entity, amount, terms`` of records ``uri, entity, name, others, said,
+    group, maker, place, amount``: terms are a hash, a kind, and for grams the hash
+    of their word."""
+    none = F.array().cast("array<string>")
+    texts = F.concat(F.array("name"), F.coalesce("others", none), F.array("said"))
+    size = F.when(F.col("amount") > 0, F.array(F.round(F.log("amount") / F.lit(STEP)).cast("string")))
+    maker = _words(F.col("maker"))
+    made = F.concat(
+        _tagged(F.concat(_words(F.col("group")), _words(F.col("said"))), "g", CLASS), _tagged(maker, "b", MAKER), _gram_terms(maker, "b", MAKER_GRAM),
+        _tagged(_words(F.col("place")), "o", PLACE), _tagged(F.coalesce(size, none), "e", SIZE),
+    )
+    base = ws.cut(
+        df.select("uri", "entity", F.when(F.col("amount") > 0, F.col("amount")).alias("amount"), F.transform(texts, _words).alias("told"), F.size(F.coalesce("others", none)).alias("said_at"), made.alias("made")),
+        f"base_{tag}",
     )
-    return full
-
+    # every text's words in their meaning, in order
+    word = base.select("uri", F.posexplode("told").alias("text", "ws")).select("uri", "text", F.posexplode("ws").alias("i", "word")).join(means, "word", "left")
+    lines = word.groupBy("uri", "text").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("means", "word").alias("w")))).alias("x")).select("uri", "text", F.col("x.w").alias("ws"))
+    # neighbours may be one word that a blank splits
+    joined = F.transform(F.filter(F.transform("ws", lambda w, i: F.when(F.get("ws", i + 1).isNotNull(), F.concat(w, F.get("ws", i + 1)))), lambda x: x.isNotNull()), lambda x: x)
+    lines = lines.select("uri", "text", "ws", joined.alias("joined"), _near(F.col("ws")).alias("pairs"))
+    said = lines.groupBy("uri").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("ws", "joined", "pairs")])
+    named = lines.join(base.select("uri", "said_at"), "uri").where(F.col("text") <= F.col("said_at")).groupBy("uri").agg(F.array_distinct(F.flatten(F.collect_list("ws"))).alias("own"))
+    rows = base.join(said, "uri", "left").join(named, "uri", "left")
+    of = lambda c: F.coalesce(F.col(c), none)
+    words = of("ws") if tag == "a" else F.concat(of("ws"), of("joined"))
+    terms = F.concat(_tagged(words, "w", WORD), _gram_terms(of("own"), "w", GRAM), _tagged(of("pairs"), "p", PAIR), "made")
+    return rows.select("uri", "entity", "amount", F.array_sort(terms).alias("terms"))
 
-def _agrees(tolerance: float) -> Column:
-    """The exact check: nothing that the two tell contradicts."""
-    apart = F.abs(F.col("amount_a") / F.col("amount_b") - 1)
-    return (F.size(F.array_except("words_b", "words_a")) == 0) & F.coalesce(apart <= tolerance, F.lit(True))
 
-
-def _fit(rows: list) -> np.ndarray:
-    """Logistic regression of ``y`` on ``gap, share`` by Newton steps with a
-    small ridge; without both outcomes a steep default."""
-    y = np.array([r["y"] for r in rows], float)
+def foods(cul: DataFrame, wik: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both vocabularies as records ``uri, entity, amount, terms``: attributes of
+    the same meaning share terms, texts are taken as words."""
+    cul = _latest(cul, "uri", ["food_name", "alt_names", "country_code", "energy_kcal", "category", "maker"], ["edited_at", "loaded_at"])
+    wik = _latest(wik, "uri", ["label", "aliases", "origin", "energy_kj", "brand", "blurb"], ["edited_at", "loaded_at"])
+    none = F.lit(None).cast("string")
+    name = places.groupBy("country_code").agg(F.min("place_name").alias("place"))
+    a = cul.join(name, "country_code", "left").select(
+        "uri", F.col("food_name").alias("name"), F.coalesce("alt_names", F.array().cast("array<string>")).alias("others"), none.alias("said"),
+        F.col("category").alias("group"), "maker", "place", F.nanvl("energy_kcal", F.lit(None).cast("double")).alias("amount"),
+        F.xxhash64(F.array_sort(F.array_distinct(_words(F.col("food_name"))))).alias("entity"),
+    )
+    b = wik.select(
+        "uri", F.col("label").alias("name"), F.split(F.coalesce("aliases", F.lit("")), ";").alias("others"), F.col("blurb").alias("said"),
+        none.alias("group"), F.col("brand").alias("maker"), F.col("origin").alias("place"), (F.col("energy_kj") / KJ).alias("amount"),
+        F.xxhash64("uri").alias("entity"),
+    )
+    ws = Workspace(cul.sparkSession, "words")
+    means = ws.cut(translations(a.select("name", "others")), "means")
+    return _terms(a, means, ws, "a"), _terms(b, means, ws, "b")
+
+
+class Index:
+    """A table of records ``id, terms`` with its postings ``d, t, f`` and its
+    terms ``t, df, mf``; ``f`` is BM25's factor of a record's length, ``mf`` the
+    largest one in a posting."""
+
+    def __init__(self, recs: DataFrame, ws: Workspace, tag: str):
+        size = F.size(F.filter("terms", lambda x: x["of"] == 0))
+        n, mean = recs.agg(F.count("*"), F.avg(size)).first()
+        self.n = n
+        f = (K1 + 1) / (1 + K1 * (1 - B + B * size / F.lit(mean or 1.0)))
+        self.recs = recs.withColumn("f", f)
+        self.posts = ws.cut(self.recs.select(F.col("id").alias("d"), "f", F.explode(F.array_distinct("terms.t")).alias("t")), f"posts_{tag}")
+        self.terms = ws.cut(self.posts.groupBy("t").agg(F.count("*").alias("df"), F.max("f").alias("mf")), f"terms_{tag}")
+
+    def idf(self, df: Column) -> Column:
+        return F.log(1 + (F.lit(self.n) - df + 0.5) / (df + 0.5))
+
+
+def _scores(batches):
+    """Score of each pair over all terms, its part from size classes, and the
+    features, from the lists of both records."""
+    for batch in batches:
+        n = batch.num_rows
+        lists = {c: batch.column(c) for c in ("qt", "qk", "qw", "qn", "dt")}
+        flat = {c: v.flatten().to_numpy(zero_copy_only=False) for c, v in lists.items()}
+        size = {c: np.diff(v.offsets.to_numpy()) for c, v in lists.items()}
+        pq, pd = np.repeat(np.arange(n), size["qt"]), np.repeat(np.arange(n), size["dt"])
+        codes, inv = np.unique(np.concatenate([flat["qt"], flat["dt"]]), return_inverse=True)
+        m = len(codes)
+        hit = np.isin(pq * m + inv[: len(pq)], pd * m + inv[len(pq) :])
+        k, w, known = flat["qk"], flat["qw"], flat["qn"]
+        f = batch.column("f").to_numpy()
+        add = lambda mask: np.bincount(pq[mask], w[mask], n).astype(float)
+        name = (k == WORD) | (k == GRAM)
+        whole = add(name)
+        cols = {
+            "q": batch.column("q"), "d": batch.column("d"), "floor": batch.column("floor"), "s": f * add(hit), "size": f * add(hit & (k == SIZE)), "total": add((k != SIZE) & (known | (k == GRAM))),
+            "miss": add((k == WORD) & ~hit), "name": add(hit & name) / np.where(whole > 0, whole, 1),
+            "lost": add((k == GRAM) & ~hit), "got": add((k == GRAM) & hit),
+        }
+        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols.values()], names=list(cols))
+
+
+def top_k(queries: Index, docs: Index, k: int, ws: Workspace, tag: str, least: float = LEAST, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
+    """``q, d, s`` and the pair's features: for each record of ``queries`` the
+    ``k`` records of ``docs`` with the largest score, more if the last ones tie,
+    of those that score at least the share ``least`` of the query's own weight
+    (that of its terms known to ``docs`` and of the grams of its unknown names); exact.  Also the queries' weighted terms."""
+    own = queries.recs.select(F.col("id").alias("q"), F.inline("terms")).join(docs.terms, "t", "left")
+    # grams stand for words that the other table doesn't know
+    own = own.join(docs.terms.select(F.col("t").alias("of"), F.col("df").alias("of_df")), "of", "left").where("of = 0 or of_df is null")
+    own = own.groupBy("q", "t").agg(F.min("k").alias("k"), F.first("df").alias("df"), F.first("mf").alias("mf"))
+    # terms the other table lacks score nothing; unknown grams still count as part of the name
+    gram = F.col("k").isin(GRAM, MAKER_GRAM)
+    w = docs.idf(F.coalesce("df", F.lit(0))) * F.coalesce(*[F.when(F.col("k") == kind, x) for kind, x in FIELDS.items()], F.lit(1.0))
+    own = own.select("q", "t", "k", "df", "mf", F.when(F.col("df").isNotNull() | gram, w).otherwise(0.0).alias("w"))
+    own = ws.cut(own, f"own_{tag}")
+    order = Window.partitionBy("q").orderBy("df", "t")
+    known = own.where("df is not null").withColumn("ub", F.col("w") * F.col("mf"))
+    known = known.select("q", "t", "w", "ub", F.row_number().over(order).alias("r"), F.sum("ub").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("rest"))
+    known = known.withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+
+    def sums(terms: DataFrame) -> DataFrame:
+        return terms.join(docs.posts, "t").groupBy("q", "d").agg(F.sum(F.col("w") * F.col("f")).alias("part"))
+
+    # a record below the share would have to bring it with the terms left out
+    mine = own.where((F.col("k") != SIZE) & (F.col("df").isNotNull() | (F.col("k") == GRAM))).groupBy("q").agg((F.sum("w") * least - 1e-9).alias("floor"))
+    known = known.join(mine, "q").where(F.col("rest") + F.col("ub") >= F.col("floor"))
+    known = ws.cut(known.select("q", "t", "w", "ub", "r", "rest", "floor"), f"known_{tag}")
+    best = sums(known.where(F.col("r") <= first)).withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("part"), "d")))
+    kth = best.where(F.col("i") == k).select("q", (F.col("part") - 1e-9).alias("kth"))
+    need = known.join(kth, "q", "left").withColumn("floor", F.greatest("floor", "kth")).where(F.col("rest") + F.col("ub") >= F.col("floor"))
+    need = ws.cut(need.select("q", "t", "w", "rest", "floor"), f"need_{tag}")
+    spare = need.groupBy("q").agg(F.min("rest").alias("spare"), F.first("floor").alias("floor"))
+    met = sums(need).join(spare, "q").where(F.col("part") + F.col("spare") >= F.col("floor")).select("q", "d", "floor")
+    out = scored(met, own, docs).where("s >= floor").drop("floor")
+    out = out.withColumn("i", F.rank().over(Window.partitionBy("q").orderBy(F.desc(F.round("s", 9))))).where(F.col("i") <= k)
+    return ws.cut(out.drop("i"), f"top_{tag}"), own
+
+
+def scored(pairs: DataFrame, own: DataFrame, docs: Index) -> DataFrame:
+    """``q, d, floor`` with the score of each pair over all terms and its features."""
+    asked = own.groupBy("q").agg(F.collect_list(F.struct("t", "k", "w", F.col("df").isNotNull().alias("n"))).alias("x"))
+    asked = asked.select("q", *[F.col(f"x.{c}").alias(f"q{c}") for c in "tkwn"])
+    full = pairs.join(asked, "q").join(docs.recs.select(F.col("id").alias("d"), "f", F.array_distinct("terms.t").alias("dt")), "d")
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("q", "d")}
+    return full.mapInArrow(_scores, ", ".join([*(f"{c} {t}" for c, t in kinds.items()), *(f"{c} double" for c in ("floor", "s", "size", "total", "miss", "name", "lost", "got"))]))
+
+
+def _fit(x: np.ndarray, y: np.ndarray, chance: float) -> tuple[np.ndarray, float]:
+    """Coefficients of ``1, x`` of a logistic function for what can't be seen,
+    and the share ``r`` of true pairs that agree, from whether pairs agree
+    (``y``): true ones with share ``r``, false ones by ``chance``.  Expectation
+    and Newton steps with a small ridge in turn; without both outcomes a steep
+    default on the gap."""
     if not len(y) or y.min() == y.max():
-        return np.array([-2.0, 8.0, 0.0])
-    x = np.array([[1.0, r["gap"], r["share"]] for r in rows])
-    beta = np.zeros(3)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (y - p) - 1e-2 * beta
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), grad)
-        beta = beta + np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-6:
+        return np.array([0.0, 8.0, *[0.0] * (len(FEATURES) - 1)]), max(0.95, 2 * chance)
+    x = np.column_stack([np.ones(len(y)), x])
+    beta, r = np.zeros(x.shape[1]), max(0.95, 2 * chance)
+    logistic = lambda: 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+    for _ in range(100):
+        p = logistic()
+        like, unlike = np.where(y > 0, r, 1 - r), np.where(y > 0, chance, 1 - chance)
+        true = p * like / (p * like + (1 - p) * unlike)
+        before = beta
+        for _ in range(3):
+            p = logistic()
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(beta)), x.T @ (true - p) - 1e-2 * beta)
+            beta = beta + np.clip(step, -3, 3)
+        r = min(max(float((true * y).sum() / max(true.sum(), 1e-9)), 2 * chance), 0.999)
+        if np.abs(beta - before).max() < 1e-4:
             break
-    return beta
+    return beta, r
+
 
+def _chance(a: DataFrame, b: DataFrame) -> float:
+    """Share of all pairs of rows whose amounts agree, from the counts of their
+    size classes: equal ones agree, neighbouring ones half the time."""
+    hist = lambda df, c: df.where("amount is not null").groupBy(F.floor(F.log("amount") / F.lit(TOLERANCE)).alias("x")).agg(F.count("*").alias(c))
+    ha, hb = hist(a, "na"), hist(b, "nb")
+    near = hb.select(F.explode(F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("nb") * w).alias("nb")) for i, w in ((-1, 0.5), (0, 1.0), (1, 0.5))])).alias("y")).select("y.*")
+    both = ha.join(near, "x").agg(F.sum(F.col("na") * F.col("nb"))).first()[0]
+    n = (ha.agg(F.sum("na")).first()[0] or 0) * (hb.agg(F.sum("nb")).first()[0] or 0)
+    return min(max((both or 0.0) / n if n else 0.05, 1e-4), 0.5)
 
-def match(a: DataFrame, b: DataFrame, tolerance: float = TOLERANCE, sample: int = SAMPLE, most_pairs: int = MOST_PAIRS) -> DataFrame:
-    """``e1, e2, p``: pairs of records of ``a`` and ``b`` (``uri, names, words,
-    amount, tags``) that mean the same, with confidence ``p`` between 0 and 1.
 
-    Records without a name match nothing; null attributes neither help
-    nor contradict; copies in either table match alike; empty tables give no
-    rows.  Nothing is capped.
+def match(a: DataFrame, b: DataFrame, tolerance: float = TOLERANCE, sample: int = SAMPLE, k: int = K, least: float = LEAST) -> DataFrame:
+    """``e1, e2, p``: pairs of records of ``a`` and ``b`` (``uri, entity, amount,
+    terms``) that are mutual nearest, with the confidence ``p`` that they mean
+    the same.
+
+    Records without a term in common with the other table match nothing; null
+    attributes have no terms; copies in either table match alike; empty tables
+    give no rows.  Nothing is capped: ties beyond the ``k``-th neighbour stay.
     """
     ws = Workspace(a.sparkSession, "entities")
-    key_a = a.select(F.col("uri").alias("e1"), F.xxhash64(F.concat_ws("|", F.get("names", F.lit(0)), "words")).alias("food"))
-    pairs = candidates(a, b, ws, most_pairs, tolerance).join(key_a, "e1").withColumn("ok", _agrees(tolerance))
-    pairs = ws.cut(pairs.withColumn("share", F.when(F.col("most") > 0, F.col("told") / F.col("most")).otherwise(0.0)), "pairs")
-    by2, by1 = Window.partitionBy("e2"), Window.partitionBy("e1")
-
-    def gaps(df: DataFrame) -> DataFrame:
-        """Gap of a pair's entity to the best other one for ``e2``, in units of
-        what the query's terms besides the name can bring, at most 1."""
-        per = df.groupBy("e2", "food").agg(F.max("s1").alias("s"))
-        w = Window.partitionBy("e2").orderBy(F.desc("s"), "food")
-        all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        per = per.withColumn("best", F.first("s").over(w)).withColumn("second", F.nth_value("s", 2).over(all_))
-        rival = F.when(F.row_number().over(w) > 1, F.col("best")).otherwise(F.col("second"))
-        df = df.join(per.select("e2", "food", (F.col("s") - rival).alias("ahead")), ["e2", "food"])
-        gap = F.when(F.col("ahead").isNull(), 1.0).when(F.col("most") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ahead") / F.col("most"))))
-        return df.withColumn("gap", F.coalesce(gap, F.lit(0.0)))
-
-    # calibration: pairs with two words and both amounts decide by themselves
-    clear = gaps(pairs).where("size(words_b) >= 2 and amount_a is not null and amount_b is not null")
-    rows = clear.select(F.col("ok").cast("double").alias("y"), "gap", "share").orderBy(F.xxhash64("e1", "e2")).limit(sample).collect()
-    beta = _fit(rows)
-    near = gaps(pairs.where("ok"))
-    # each the other's nearest, up to copies of the entity
-    near = near.withColumn("mine", F.max_by("food", F.struct("s1", "food")).over(by2)).withColumn(
-        "points_back", F.max_by("mine", F.struct("s2", "e2")).over(by1)
+    recs, members = {}, {}
+    for df, tag in ((a, "a"), (b, "b")):
+        src = ws.cut(df, f"src_{tag}")
+        one = src.groupBy(F.col("terms"), "amount").agg(F.min("uri").alias("id"), F.min("entity").alias("entity"), F.collect_list("uri").alias("uris"))
+        one = ws.cut(one, f"rec_{tag}")
+        recs[tag], members[tag] = one, one.select(F.col("id").alias("k"), F.explode("uris").alias("uri"))
+    ia, ib = (Index(recs[x].select("id", "terms"), ws, x) for x in "ab")
+    there, own = top_k(ib, ia, k, ws, "there", least)
+    back, _ = top_k(ia, ib, 1, ws, "back", max(least, LEAST_BACK))
+    # pairs that only the other direction found are scored from here, too
+    only = back.select(F.col("d").alias("q"), F.col("q").alias("d")).join(there, ["q", "d"], "left_anti")
+    rows = there.unionByName(scored(only.withColumn("floor", F.lit(0.0)), own, ia).drop("floor")).withColumn("core", F.col("s") - F.col("size"))
+    amount = {x: recs[x].select(F.col("id").alias(c), F.col("amount").alias(f"amount_{x}"), *([F.col("entity")] if x == "a" else [])) for x, c in (("a", "d"), ("b", "q"))}
+    rows = ws.cut(rows.join(amount["a"], "d").join(amount["b"], "q"), "scores")
+    # the score gap to the best other entity found, or to the share below which none was sought
+    per = rows.groupBy("q", "entity").agg(F.max("core").alias("top"), (F.first("total") * least).alias("low"))
+    w = Window.partitionBy("q").orderBy(F.desc("top"), "entity").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    per = per.withColumn("one", F.first("entity").over(w)).withColumn("best", F.first("top").over(w)).withColumn("second", F.nth_value("top", 2).over(w))
+    rival = F.coalesce(F.when(F.col("entity") == F.col("one"), F.col("second")).otherwise(F.col("best")), "low")
+    rows = rows.join(per.select("q", "entity", rival.alias("rival")), ["q", "entity"])
+    agree = F.abs(F.col("amount_b") / F.col("amount_a") - 1) <= tolerance
+    rows = rows.select(
+        "q", "d", "entity", ((F.col("core") - F.col("rival")) / F.greatest("total", F.lit(1e-9))).alias("gap"), "name",
+        *[(F.col(x) / 10).alias(x) for x in ("miss", "lost", "got")],
+        agree.alias("agree"),
+    )
+    rows = ws.cut(rows, "rows")
+    c = _chance(recs["a"], recs["b"])
+    known = rows.where("agree is not null").select(F.col("agree").cast("double").alias("y"), *FEATURES)
+    got = known.orderBy(F.xxhash64("y", *FEATURES)).limit(sample).toPandas()
+    x, y = got[FEATURES].to_numpy(float), got["y"].to_numpy(float)
+    beta, r = _fit(x.reshape(len(y), len(FEATURES)), y, c)
+    z = F.lit(float(beta[0])) + sum((F.lit(float(v)) * F.col(f) for f, v in zip(FEATURES, beta[1:])), F.lit(0.0))
+    odds = F.when(F.col("agree"), r / c).when(~F.col("agree"), (1 - r) / (1 - c)).otherwise(1.0)
+    rows = rows.withColumn("sure", z + F.log(odds)).withColumn("p", 1 / (1 + F.exp(-F.col("sure"))))
+    rows = rows.withColumn("mine", F.max_by("entity", F.struct("sure", "entity")).over(Window.partitionBy("q")))
+    rows = rows.withColumn("points", F.max_by("mine", F.struct("sure", "q")).over(Window.partitionBy("d")))
+    near = rows.where("entity = mine and entity = points")
+    return (
+        near.join(members["a"].toDF("d", "e1"), "d").join(members["b"].toDF("q", "e2"), "q").select("e1", "e2", "p")
     )
-    near = near.where("food = mine and points_back = food and s1 > 0")
-    z = F.lit(float(beta[0])) + F.lit(float(beta[1])) * F.col("gap") + F.lit(float(beta[2])) * F.col("share")
-    return near.select("e1", "e2", (1 / (1 + F.exp(-z))).alias("p"))

@@ -31,7 +31,7 @@ def p4_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_matches(spark, d).where("p >= 0.5").select("e1", "e2")
+    return p4_matches(spark, d).where("p >= 0.7").select("e1", "e2")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
