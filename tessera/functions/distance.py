@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -304,11 +304,24 @@ def monge_elkan(a: Column, b: Column) -> Column:
 
 
 def best_of(measure: Callable[[Column, Column], Column], xs: Column, ys: Column) -> Column:
-    """Smallest distance over all pairs of two value sets, for JVM measures; no
-    values on a side: null."""
+    """Smallest distance over all pairs of two value sets, for JVM measures
+    (others: ``best_by_pair``); no values on a side: null."""
     return F.array_min(F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: measure(x, y)))))
 
 
+def best_by_pair(df: DataFrame, keys: list[str], measure: Callable[[Column, Column], Column], xs: Column, ys: Column, name: str) -> DataFrame:
+    """``df`` with the smallest distance over all pairs of two value sets of each
+    row as column ``name``, for any measure: each pair of values is compared once,
+    as a plain column, and its distance joined back by ``keys`` (unique)."""
+    values = df.select(*keys, F.explode(xs).alias("_x"), ys.alias("_ys")).select(*keys, "_x", F.explode("_ys").alias("_y"))
+    made = values.select("_x", "_y").distinct().withColumn("_d", measure(F.col("_x"), F.col("_y")))
+    best = values.join(made, ["_x", "_y"]).groupBy(*keys).agg(F.min("_d").alias(name))
+    return df.join(best, keys, "left")
+
+
+#: Measures that run over Arrow batches; they can't stand in a lambda.
+ARROW = {jaro, jaro_winkler, jaro_standard, jaro_winkler_standard, isub, substring, needleman_wunsch, smith_waterman, affine_gap, monge_elkan}
+
 #: Measures by name.  Scores (higher is closer) are listed apart.
 DISTANCES: dict[str, Callable[[Column, Column], Column]] = {
     "equality": equality,

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,18 +178,14 @@ def one_against_all(label: str, b: DataFrame, measures: dict[str, Callable[[Colu
     return rows.groupBy("e2").agg(*[F.min(k).alias(k) for k in measures])
 
 
-def vectors(pairs: DataFrame | None, a: DataFrame, b: DataFrame, measures: Sequence[str] = tuple(D.VECTOR), prefilter: float | None = None) -> DataFrame:
-    """Distance vectors of candidate pairs ``e1, e2`` (None: all pairs): one column a measure, the
+def vectors(pairs: DataFrame, a: DataFrame, b: DataFrame, measures: Sequence[str] = tuple(D.VECTOR), prefilter: float | None = None) -> DataFrame:
+    """Distance vectors of candidate pairs ``e1, e2``: one column a measure, the
     best over all labels (scores: the largest).  ``prefilter`` keeps pairs with
-    some distance of at most it."""
+    some distance of at most it.  Each pair of texts is compared once."""
     xs, ys = sides(a, b)
-    if pairs is None:
-        rows, texts = xs.crossJoin(ys), xs.select("x").distinct().crossJoin(ys.select("y").distinct())
-    else:
-        rows = pairs.select("e1", "e2").distinct().join(xs, "e1").join(ys, "e2")
-        texts = rows.select("x", "y").distinct()
+    rows = pairs.select("e1", "e2").distinct().join(xs, "e1").join(ys, "e2")
     made = D.vector(F.col("x"), F.col("y"))
-    texts = texts.select("x", "y", *[made[m].alias(m) for m in measures])
+    texts = rows.select("x", "y").distinct().select("x", "y", *[made[m].alias(m) for m in measures])
     scores = D.VECTOR[:5]
     out = rows.join(texts, ["x", "y"]).groupBy("e1", "e2").agg(*[(F.max if m in scores else F.min)(m).alias(m) for m in measures])
     if prefilter is not None:
@@ -197,6 +194,13 @@ def vectors(pairs: DataFrame | None, a: DataFrame, b: DataFrame, measures: Seque
     return out
 
 
+def near_pairs(a: DataFrame, b: DataFrame, levenshtein: float = 0.2, qgrams: float = 0.3) -> DataFrame:
+    """``e1, e2``: pairs within a Levenshtein or 2-gram distance or equal but for
+    case and accents: the union of lossless joins, each pair once."""
+    found = [levenshtein_join(a, b, levenshtein), qgram_join(a, b, qgrams), relaxed_join(a, b)]
+    return reduce(DataFrame.unionAll, (x.select("e1", "e2") for x in found)).distinct()
+
+
 def buckets(matches: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """One alignment for several thresholds: ``bucket`` names the tightest
     threshold that the pair passes; pairs that pass none are left out."""

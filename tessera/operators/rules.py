@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,10 +34,14 @@ class Comparison:
     required: bool = False
     weight: float = 1.0
     transform: Callable[[Column], Column] = field(default=lambda v: v)
+    #: Column with the distance, once it is made (see ``with_distances``).
+    distance: str = ""
+
+    def values(self) -> tuple[Column, Column]:
+        return self.transform(F.col(f"a_{self.left}")), self.transform(F.col(f"b_{self.right}"))
 
     def column(self) -> Column:
-        xs, ys = self.transform(F.col(f"a_{self.left}")), self.transform(F.col(f"b_{self.right}"))
-        d = D.best_of(self.measure, xs, ys)
+        d = F.col(self.distance) if self.distance else D.best_of(self.measure, *self.values())
         c = confidence(d, self.threshold, self.required)
         return F.when(d.isNotNull(), c).otherwise(F.lit(None if self.required else -1.0).cast("double"))
 
@@ -81,6 +85,21 @@ class Aggregation:
 Rule = Comparison | Structural | Aggregation
 
 
+def with_distances(rule: Rule, rows: DataFrame) -> tuple[Rule, DataFrame]:
+    """The rule and the pairs ``source, target, ...`` with a column for each
+    comparison whose measure can't stand in a lambda."""
+    if isinstance(rule, Aggregation):
+        parts = []
+        for part in rule.parts:
+            part, rows = with_distances(part, rows)
+            parts.append(part)
+        return replace(rule, parts=parts), rows
+    if isinstance(rule, Comparison) and rule.measure in D.ARROW and not rule.distance:
+        name = f"_d{sum(c.startswith('_d') for c in rows.columns)}"
+        return replace(rule, distance=name), D.best_by_pair(rows, ["source", "target"], rule.measure, *rule.values(), name)
+    return rule, rows
+
+
 def entities(triples: DataFrame, paths: Sequence[str], restrict: tuple[str, str] | None = None) -> DataFrame:
     """``uri`` and a sorted value set for each property path (a predicate, or
     several joined by ``/``); ``restrict`` keeps subjects with ``(p, o)``."""
@@ -105,25 +124,52 @@ def path_frequencies(triples: DataFrame, restrict: tuple[str, str] | None = None
     return t.groupBy("p").agg(F.countDistinct("s").alias("k")).join(F.broadcast(total)).select(F.col("p").alias("path"), (F.col("k") / F.col("n")).alias("frequency"))
 
 
-def generate_links(rule: Rule, a: DataFrame, b: DataFrame, keys_a: Callable[[], Column] | None = None, keys_b: Callable[[], Column] | None = None, block: tuple[str, str] | None = None) -> DataFrame:
+def generate_links(rule: Rule, a: DataFrame, b: DataFrame, keys_a: Callable[[], Column] | None = None, keys_b: Callable[[], Column] | None = None, block: tuple[str, str] | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """``source, target, confidence`` of pairs whose confidence isn't negative.
 
-    Pairs share a blocking key: by default an equal lower-cased token or whole
+    ``candidates`` (``source, target``) gives the pairs to compare, such as those
+    of ``required_pairs``.  Without it, pairs share a blocking key: by default an equal lower-cased token or whole
     value of the properties ``block``; ``keys_a`` and ``keys_b`` give other
     arrays of keys."""
-    if keys_a is None or keys_b is None:
+    if candidates is None and (keys_a is None or keys_b is None):
         left, right = block or tuple(next(iter(sorted(s))) for s in rule.paths())
         make = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda v: F.concat(F.split(F.lower(v), r"[^\p{L}\p{Nd}]+"), F.array(F.lower(v))))))
         keys_a, keys_b = (lambda: make(F.col(left))), (lambda: make(F.col(right)))
-    ka = a.select("uri", F.explode(keys_a()).alias("k")).where("k <> ''")
-    kb = b.select("uri", F.explode(keys_b()).alias("k")).where("k <> ''")
-    pairs = ka.toDF("source", "k").join(kb.toDF("target", "k"), "k").select("source", "target").distinct()
+    if candidates is None:
+        ka = a.select("uri", F.explode(keys_a()).alias("k")).where("k <> ''")
+        kb = b.select("uri", F.explode(keys_b()).alias("k")).where("k <> ''")
+        candidates = ka.toDF("source", "k").join(kb.toDF("target", "k"), "k")
+    pairs = candidates.select("source", "target").distinct()
     left = a.select(F.col("uri").alias("source"), *[F.col(f"`{c}`").alias(f"a_{c}") for c in a.columns if c != "uri"])
     right = b.select(F.col("uri").alias("target"), *[F.col(f"`{c}`").alias(f"b_{c}") for c in b.columns if c != "uri"])
-    rows = pairs.join(left, "source").join(right, "target")
+    rule, rows = with_distances(rule, pairs.join(left, "source").join(right, "target"))
     return rows.select("source", "target", rule.column().alias("confidence")).where("confidence >= 0")
 
 
+def required_pairs(c: Comparison, a: DataFrame, b: DataFrame) -> DataFrame:
+    """``source, target`` that may meet a required comparison: its threshold is a
+    lossless similarity join of the transformed values.  Measures without one are
+    an error."""
+    from tessera.operators import pairs
+
+    side = lambda df, at, p: df.select("uri", F.explode(c.transform(F.col(f"`{p}`"))).alias("label"))
+    xs, ys = side(a, "a", c.left), side(b, "b", c.right)
+    t, name = c.threshold, getattr(c.measure, "__name__", "")
+    if name in ("jaro", "jaro_standard", "jaro_winkler", "jaro_winkler_standard"):
+        # a common prefix of up to four signs takes off at most four tenths
+        made = pairs.jaro_candidates(xs.select(F.col("label").alias("x")), ys.select(F.col("label").alias("y")), t / 0.6 if "winkler" in name else t)
+        made = made.join(xs.toDF("e1", "x"), "x").join(ys.toDF("e2", "y"), "y")
+    elif name == "levenshtein":
+        made = pairs.levenshtein_join(xs, ys, t)
+    elif name == "equality":
+        made = pairs.equality_join(xs, ys, lambda v: v)
+    elif name == "relaxed_equality":
+        made = pairs.relaxed_join(xs, ys)
+    else:
+        raise ValueError(f"no lossless join for {name or c.measure}")
+    return made.select(F.col("e1").alias("source"), F.col("e2").alias("target")).distinct()
+
+
 def evaluate(rule: Rule, a: DataFrame, b: DataFrame, reference: DataFrame, **how) -> DataFrame:
     """Links of a rule against a reference alignment: its ``statistics``."""
     found = generate_links(rule, a, b, **how).select(F.col("source").alias("e1"), F.col("target").alias("e2"), (1 - F.col("confidence")).alias("p"))
@@ -204,3 +250,40 @@ def load_spec(text: str) -> dict:
         "restrict": tuple((d.findtext("RestrictTo") or "").strip() for d in (link.find("SourceDataset"), link.find("TargetDataset"))),
         "rule": rule_of(link.find("LinkageRule")[0]),
     }
+
+
+#: Transforms of link specifications.
+SPEC_TRANSFORMS = {"lowerCase": "lc"}
+
+
+def compile_rule(node: dict) -> Rule:
+    """Rule of a specification's tree (see ``load_spec``)."""
+    if "aggregate" in node:
+        return Aggregation([compile_rule(p) for p in node["parts"]], node["aggregate"], node["weight"])
+    fns = node["transforms"][0]
+    if fns != node["transforms"][1]:
+        raise ValueError("transforms of the two sides differ")
+
+    def transform(v: Column) -> Column:
+        for fn in reversed(fns):
+            v = X.TRANSFORMS[SPEC_TRANSFORMS[fn]](v)
+        return v
+
+    return Comparison(node["left"], node["right"], D.DISTANCES[node["measure"]], node["threshold"], node["required"], node["weight"], transform)
+
+
+def run_spec(spec: dict, a: DataFrame, b: DataFrame, **how) -> DataFrame:
+    """Links of a specification between two sets of triples ``s, p, o``: its
+    restrictions choose the entities, its paths their values.  A single required
+    comparison chooses the candidates; other rules take ``generate_links``'s."""
+    rule = compile_rule(spec["rule"])
+    left, right = rule.paths()
+
+    def side(triples: DataFrame, paths: set[str], restrict: str) -> DataFrame:
+        parts = restrict.rstrip(" .").split()
+        return entities(triples, sorted(paths), tuple(parts[1:3]) if len(parts) == 3 else None)
+
+    ea, eb = side(a, left, spec["restrict"][0]), side(b, right, spec["restrict"][1])
+    if isinstance(rule, Comparison) and rule.required and not how:
+        how = {"candidates": required_pairs(rule, ea, eb)}
+    return generate_links(rule, ea, eb, **how)

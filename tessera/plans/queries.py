@@ -197,8 +197,8 @@ def jaro_blocked(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def distance_vectors(spark: SparkSession, d: str) -> DataFrame:
     cul, wik = food_labels(spark, d)
-    # no candidates: Monge-Elkan and ISub have no lossless join here
-    return pairs.vectors(None, cul, wik, prefilter=0.4)
+    # pairs of the similarity joins; near ones by other measures alone have no lossless join
+    return pairs.vectors(pairs.near_pairs(cul, wik), cul, wik, prefilter=0.4)
 
 
 @query("""SELECT s_name AS e2, min(levenshtein('Supplier#000000042', s_name) / greatest(18, length(s_name))) AS levenshtein,
@@ -225,8 +225,10 @@ def threshold_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 @query(QGRAM_SQL + "SELECT e1 AS source, e2 AS target, round(1 - p / 0.25, 6) AS confidence FROM best WHERE p <= 0.25")
 def rule_links(spark: SparkSession, d: str) -> DataFrame:
-    found = pairs.qgram_join(*food_labels(spark, d), 0.3)
-    return pairs.links(found, 0.25).select("source", "target", F.round("confidence", 6).alias("confidence"))
+    sets = lambda df: df.where("label is not null").groupBy("uri").agg(F.collect_set("label").alias("name"))
+    (a, b), rule = food_labels(spark, d), rules.Comparison("name", "name", D.DISTANCES["qgrams-2"], 0.25, True)
+    near = pairs.qgram_join(a, b, 0.25).select(F.col("e1").alias("source"), F.col("e2").alias("target"))
+    return rules.generate_links(rule, sets(a), sets(b), candidates=near).select("source", "target", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""WITH c AS (SELECT DISTINCT uri, translate(lower(food_name), '{ACCENTED}', '{PLAIN}') AS x, country_code AS k FROM cul_foods WHERE country_code IS NOT NULL AND food_name IS NOT NULL),
@@ -245,6 +247,18 @@ def name_and_code_links(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source", "target", F.round("confidence", 6).alias("confidence"))
 
 
+@query(f"""WITH {PLAIN_FOODS}, f AS (
+    SELECT a.uri AS source, b.uri AS target, min(1 - jaro_winkler_similarity(x, y)) AS d FROM a, b
+    WHERE abs(length(x) - length(y)) <= 0.5 * greatest(length(x), length(y)) GROUP BY 1, 2)
+    SELECT source, target, round(1 - d / 0.04, 6) AS confidence FROM f WHERE d <= 0.04""")
+def jaro_winkler_rule(spark: SparkSession, d: str) -> DataFrame:
+    cul, wik = plain_labels(spark, d)
+    sets = lambda df: df.where("label is not null").groupBy("uri").agg(F.collect_set("label").alias("name"))
+    rule, a, b = rules.Comparison("name", "name", D.jaro_winkler_standard, 0.04, True), sets(cul), sets(wik)
+    out = rules.generate_links(rule, a, b, candidates=rules.required_pairs(rule, a, b))
+    return out.select("source", "target", F.round("confidence", 6).alias("confidence"))
+
+
 STATS = """
     s AS (SELECT {keys} tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS rc FROM c)
     SELECT {keys} tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(pr, 6) AS "precision", round(rc, 6) AS recall,

@@ -92,6 +92,10 @@ def test_rules_and_links(spark):
         '<TransformInput function="lowerCase"><Input path="?b/gn:name"/></TransformInput></Compare></LinkageRule></Interlink></Interlinks></Links>'
     )
     assert spec["rule"]["measure"] == "jaro-winkler" and spec["rule"]["required"] and spec["rule"]["left"] == "gn:name"
+    named = [(x, p, o) for x, n in (("u", "Beurre Manie"), ("v", "beurre manié"), ("w", "Rice")) for p, o in (("rdf:type", "gn:F"), ("gn:name", n))]
+    t = spark.createDataFrame(named, "s string, p string, o string")
+    links = {(r.source, r.target): r.confidence for r in rules.run_spec(spec, t, t).collect()}
+    assert set(links) == {(x, x) for x in "uvw"} | {("u", "v"), ("v", "u")} and links["u", "u"] == 1.0
 
 
 def test_grid_search_and_tree(spark):
