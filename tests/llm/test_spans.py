@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tessera.llm import spans
 
 
@@ -41,7 +43,7 @@ def made(seed):
 
 
 def test_against_all_windows(spark):
-    for seed, signs in ((1, 10**6), (2, 400), (3, 0)):
+    for seed, signs in ((1, 10**6), (2, 400), (3, 60), (5, 0)):
         rows = made(seed) + [(1000, None), (1001, ""), (1002, "-" * 900), (1003, "x" + "-" * 500), (1004, " " * 19), (None, "-" * 900)]
         rows += [(5, rows[5][1]), (2000, "ab" * 3000), (2001, "ba" * 40)]
         df = spark.createDataFrame([(k, t, "d") for k, t in rows], "doc_id bigint, text string, doc string")
@@ -57,8 +59,15 @@ def test_spans_are_maximal(spark):
     assert spans.shared_chars(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_other_ways_of_joining(spark):
+def test_prefix_as_long_as_the_span(spark):
     rows = made(4)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r.shared_chars for r in spans.shared_chars(df, "doc_id", "text", length=20, prefix=20, most_keys=0).collect()}
+    got = {r.doc_id: r.shared_chars for r in spans.shared_chars(df, "doc_id", "text", length=20, prefix=20).collect()}
     assert got == brute(rows, 20)
+
+
+def test_nodes_are_told_by_signs():
+    texts = ["abcabcabd", "xabcab", "bcabca"]
+    who, at, node = spans._nodes(texts, np.array([0, 0, 0]), 5)
+    cut = [texts[i][a : a + 5] for i, a in zip(who, at)]
+    assert all((cut[i] == cut[j]) == (node[i] == node[j]) for i in range(len(cut)) for j in range(len(cut)))
