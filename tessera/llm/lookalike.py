@@ -1,9 +1,9 @@
 """Visually identical text: one consistent form for labels that look the same.
 
 ``visible_form`` maps blanks, widths, encodings and look-alike letters to one
-sign each and drops what prints nothing; the forms are then grouped under the
-accent- and case-sensitive Unicode collation, whose classes get their smallest
-member (by count, then by code point) as canonical text.
+sign each and drops what prints nothing; the forms are keys only: they are grouped
+under the accent- and case-sensitive Unicode collation, and a class's canonical text
+is its most frequent original text, so no text is made that nobody wrote.
 """
 
 from __future__ import annotations
@@ -80,42 +80,45 @@ def visible_form(text: Column | str) -> Column:
     return F.pandas_udf(_visible_batch, T.StringType())(text)
 
 
+def classes(texts: DataFrame) -> DataFrame:
+    """``raw, n`` (distinct texts and their counts) -> ``raw, canonical, n``: texts
+    that look the same have one canonical text, the most frequent of them (ties by
+    code point); what prints nothing has the empty text."""
+    words = texts.withColumn("form", visible_form("raw")).withColumn("key", F.expr(f"form collate {COLLATION}"))
+    best = words.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("raw"))).alias("best"))
+    named = words.join(best, "key")
+    return named.select("raw", F.when(F.col("form") == "", "").otherwise(F.col("best.raw")).alias("canonical"), words["n"])
+
+
 def canonical(df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``canonical``: equal for texts that look the same, different
-    for others.
+    for others, and always a text of the table that looks like the row's.
 
-    The distinct texts with their counts are mapped and grouped under the
-    collation; a class's canonical text is its most frequent form, ties by code
-    point.  Null stays null; an empty text and one that prints nothing become
-    the empty text.  Columns of ``df`` keep their names; one called
-    ``canonical`` is replaced.  Repeated rows stay repeated.
+    Null stays null; an empty text and one that prints nothing become the empty
+    text.  Columns of ``df`` keep their names; one called ``canonical`` is
+    replaced.  Repeated rows stay repeated.
     """
-    words = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("_raw")).agg(F.count("*").alias("_n"))
-    words = words.withColumn("_form", visible_form("_raw"))
-    forms = words.groupBy("_form").agg(F.sum("_n").alias("_n"))
-    best = forms.groupBy(F.expr(f"_form collate {COLLATION}").alias("_key")).agg(
-        F.min(F.struct((-F.col("_n")).alias("n"), F.expr("_form collate UTF8_BINARY").alias("form"))).alias("_best")
-    )
-    named = words.select("_raw", F.expr(f"_form collate {COLLATION}").alias("_key")).join(best, "_key")
-    named = named.select("_raw", F.col("_best.form").alias("canonical"))
-    return df.drop("canonical").join(named, df[text] == named["_raw"], "left").drop("_raw")
+    words = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("raw")).agg(F.count("*").alias("n"))
+    named = classes(words).select(F.col("raw").alias("_raw"), F.col("canonical").alias("_canonical"))
+    df = df.drop("canonical")
+    return df.join(named, df[text] == named["_raw"], "left").drop("_raw").withColumnRenamed("_canonical", "canonical")
 
 
 def look_alikes(df: DataFrame, text: str, key: str) -> DataFrame:
     """``<key>_a, <key>_b`` (a < b): pairs of rows whose texts look the same but
     differ in code points.  Null, empty and invisible texts make no pair.
 
-    Only classes with at least two different texts take part in the join, which
-    is on the class, so it yields just the pairs to be reported (and those of
-    equal texts in such classes, dropped at once).
+    Classes are made and paired by their distinct texts; only texts that look like
+    another one are joined to rows, so the joins yield just what is reported.
     """
-    base = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null and t <> ''")
-    # written once, as three plans read it
-    rows = Workspace(df.sparkSession, "lookalike").cut(canonical(base, "t").where("canonical <> ''"), "rows")
-    texts = rows.select("canonical", "t").distinct()
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null and t <> ''").distinct()
+    ws = Workspace(df.sparkSession, "lookalike")
+    rows = ws.cut(rows, "rows")
+    texts = classes(rows.groupBy(F.col("t").alias("raw")).agg(F.count("*").alias("n"))).where("canonical <> ''")
+    texts = ws.cut(texts.select("canonical", "raw"), "texts")
     mixed = texts.groupBy("canonical").count().where("count > 1").select("canonical")
-    rows = rows.join(mixed, "canonical", "left_semi")
-    a, b = (rows.select(F.col("canonical"), F.col("k").alias(f"{key}_{s}"), F.col("t").alias(f"t_{s}")) for s in "ab")
-    return (
-        a.join(b, "canonical").where(F.col(f"{key}_a") < F.col(f"{key}_b")).where("t_a <> t_b").select(f"{key}_a", f"{key}_b").distinct()
-    )
+    texts = texts.join(mixed, "canonical", "left_semi")
+    a, b = (texts.select("canonical", F.col("raw").alias(f"t_{s}")) for s in "ab")
+    pairs = a.join(b, "canonical").where("t_a <> t_b").select("t_a", "t_b")
+    ra, rb = (rows.select(F.col("t").alias(f"t_{s}"), F.col("k").alias(f"{key}_{s}")) for s in "ab")
+    return pairs.join(ra, "t_a").join(rb, "t_b").where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b").distinct()

@@ -24,6 +24,7 @@ def test_forms(spark):
     got = {r.k: r.canonical for r in lookalike.canonical(df, "t").collect()}
     assert len(got) == len(rows) and got[100] is None and got[101] == "" == got[102]
     text = dict(rows)
+    assert all(c is None or not c or c in text.values() and lookalike.visible(c) == lookalike.visible(text[k]) for k, c in got.items())
     classes = defaultdict(set)
     for k, c in got.items():
         if c:
