@@ -51,9 +51,9 @@ def _double(ws: Workspace, start: DataFrame, tag: str, rounds: int | None) -> tu
             F.col("mn").alias("m2"), F.col("done").alias("e2"),
             *([F.col("path").alias("p2")] if "path" in cur.columns else []),
         )
-        on = F.when(F.col("done"), None).otherwise(F.col("tgt"))
-        nxt = cur.withColumn("k", on).join(to, "k", "left")
-        hit = F.col("k").isNotNull() & F.col("t2").isNotNull()
+        # only active rows go to their target; the others stay as they are
+        nxt = cur.where("not done").withColumn("k", F.col("tgt")).join(to, "k", "left")
+        hit = F.col("t2").isNotNull()
         cols = [
             F.col("v"),
             F.when(hit, F.col("t2")).otherwise(F.col("tgt")).alias("tgt"),
@@ -63,7 +63,7 @@ def _double(ws: Workspace, start: DataFrame, tag: str, rounds: int | None) -> tu
         ]
         if "path" in cur.columns:
             cols.append(F.when(hit, F.concat("path", "p2")).otherwise(F.col("path")).alias("path"))
-        cur = ws.cut(nxt.select(cols), f"{tag}{r + 1}")
+        cur = ws.cut(nxt.select(cols).unionByName(cur.where("done")), f"{tag}{r + 1}")
         if r:
             ws.drop(f"{tag}{r}")
         r += 1
@@ -85,6 +85,9 @@ def resolve(links: DataFrame, split_every: int = SPLIT_EVERY) -> tuple[DataFrame
     links = links.select("c", F.when(~F.col("p").rlike(r"^\s*$"), F.col("p")).alias("p")).distinct()
     links = ws.cut(links, "links")
     words = dictionary.build(links.select("c").unionAll(links.select("p")), ws)
+    # the lowest bit of a code tells whether the identifier's hash makes it a splitter
+    is_split = (F.pmod(F.xxhash64("id"), F.lit(split_every)) == 0).cast("long")
+    words = words.select("id", (F.col("code") * 2 + is_split).alias("code"))
     kids = links.where("p is not null").join(words.toDF("c", "v"), "c").join(words.toDF("p", "parent"), "p")
     # a child named twice with different parents keeps the smallest one
     nodes = (
@@ -97,14 +100,14 @@ def resolve(links: DataFrame, split_every: int = SPLIT_EVERY) -> tuple[DataFrame
     n = nodes.count()
 
     def chosen(c):
-        return F.pmod(F.xxhash64(c), F.lit(split_every)) == 0
+        return F.col(c).bitwiseAND(F.lit(1)) == 1
 
     start = nodes.select(
         "v",
         F.coalesce("parent", "v").alias("tgt"),
         F.col("parent").isNotNull().cast("long").alias("dist"),
         F.col("v").alias("mn"),
-        (F.col("parent").isNull() | chosen(F.col("parent"))).alias("done"),
+        (F.col("parent").isNull() | chosen("parent")).alias("done"),
         F.when(F.col("parent").isNotNull(), F.array("v")).otherwise(F.array().cast("array<bigint>")).alias("path"),
     )
     # walks longer than any gap to be expected are left to _unsplit, so paths stay short
@@ -117,7 +120,7 @@ def resolve(links: DataFrame, split_every: int = SPLIT_EVERY) -> tuple[DataFrame
     # reduced graph: hash splitters and roots; it also ends at splitters from
     # which the way up meets only a cycle without splitters
     stop = (F.col("dist") == 0) | F.col("cyc").isNotNull()
-    red = walked.where((F.col("dist") == 0) | chosen(F.col("v"))).select(
+    red = walked.where((F.col("dist") == 0) | chosen("v")).select(
         "v",
         F.when(stop, F.col("v")).otherwise(F.col("tgt")).alias("tgt"),
         F.when(stop, 0).otherwise(F.col("dist")).cast("long").alias("dist"),
@@ -126,7 +129,7 @@ def resolve(links: DataFrame, split_every: int = SPLIT_EVERY) -> tuple[DataFrame
     )
     red, left, _ = _double(ws, red, "red", None)
     ends = red.select(F.col("v").alias("s"), F.col("tgt").alias("s_end"), F.col("dist").alias("s_dist"))
-    rings = walked.where(F.col("cyc").isNotNull() & chosen(F.col("v"))).select(
+    rings = walked.where(F.col("cyc").isNotNull() & chosen("v")).select(
         F.col("v").alias("s_end"), F.col("cyc").alias("s_cyc")
     )
     marks = rings
@@ -205,7 +208,8 @@ def hierarchy(links: DataFrame, split_every: int = SPLIT_EVERY) -> DataFrame:
     """``node, root_node, node_depth`` for every node of ``child, parent`` links.
 
     A null or blank parent gives no parent, a null or blank child no node;
-    repeated links count once; a child with several parents keeps the smallest.
+    repeated links count once; a child with several parents keeps the smallest
+    (``several_parents`` lists such children).
     Depth -1 marks a node on a cycle (its root is the cycle's smallest node), -2
     one whose way up ends in a cycle.  Other columns are ignored; an empty table
     gives no rows.
@@ -221,6 +225,13 @@ def hierarchy(links: DataFrame, split_every: int = SPLIT_EVERY) -> DataFrame:
     )
 
 
+def several_parents(links: DataFrame) -> DataFrame:
+    """``child, parents``: children that the links give more than one parent, with
+    the sorted parents; ``hierarchy`` keeps the first of them."""
+    named = links.select("child", "parent").where("not rlike(child, '^\\s*$') and not rlike(parent, '^\\s*$')").distinct()
+    return named.groupBy("child").agg(F.array_sort(F.collect_list("parent")).alias("parents")).where(F.size("parents") > 1)
+
+
 def paths(links: DataFrame, split_every: int = SPLIT_EVERY) -> DataFrame:
     """``node, root_node, node_depth, ancestor, distance``: one row for each node
     of a tree and each node on its way up, itself (distance 0) included; read

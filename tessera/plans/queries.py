@@ -533,37 +533,43 @@ def taxonomy_leafs(spark: SparkSession, d: str) -> DataFrame:
     return G.leafs(G.from_triples(short_triples(spark, d)))
 
 
-@query("""WITH e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b, 1 AS w FROM nation UNION SELECT 'r' || r_regionkey, 'root', 1 FROM region)
-    SELECT a AS i, a AS j, 0::BIGINT AS d FROM e UNION SELECT 'root', 'root', 0 UNION SELECT a, b, 1 FROM e
-    UNION SELECT x.a, y.b, 2 FROM e x JOIN e y ON x.b = y.a""")
+@query(f"""WITH RECURSIVE {STAR}, {REACH} SELECT s AS i, node AS j, min(depth)::BIGINT AS d FROM reach GROUP BY s, node
+    UNION SELECT 'root', 'root', 0""")
 def all_distances(spark: SparkSession, d: str) -> DataFrame:
-    return G.all_distances(star(spark, d).where("src like 'n%' or src like 'r%'"))
+    return G.all_distances(star(spark, d))
 
 
-@query("""WITH p AS (SELECT 'c' || c_custkey AS s, 's' || s_suppkey AS t, c_nationkey AS cn, s_nationkey AS sn FROM customer JOIN supplier ON c_nationkey % 5 = s_nationkey % 5),
+@query("""WITH p AS (SELECT 'c' || c_custkey AS s, 's' || s_suppkey AS t, c_nationkey AS cn, s_nationkey AS sn
+        FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
     q AS (SELECT s, t, CASE WHEN cn = sn THEN 'n' || cn WHEN a.n_regionkey = b.n_regionkey THEN 'r' || a.n_regionkey ELSE 'root' END AS lcs
           FROM p JOIN nation a ON cn = a.n_nationkey JOIN nation b ON sn = b.n_nationkey)
     SELECT s, t, lcs, CASE lcs[1:1] WHEN 'n' THEN 2.0 WHEN 'r' THEN CASE WHEN lcs = 'root' THEN 6.0 ELSE 4.0 END END::DOUBLE AS cotopic,
       round(CASE WHEN lcs = 'root' THEN 0 WHEN lcs[1:1] = 'n' THEN 4 / 6 ELSE 2 / 6 END, 6) AS wu_palmer_sim FROM q""")
 def taxonomy_similarity(spark: SparkSession, d: str) -> DataFrame:
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    two = c.join(s, F.col("c_nationkey") % 5 == F.col("s_nationkey") % 5).select(
-        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("s"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("t")
-    )
+    # all customers and suppliers that an order brought together
+    sold = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    sold = sold.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+    two = sold.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("s"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("t"))
     return G.similarity(star(spark, d), two, "root").select("s", "t", "lcs", "cotopic", F.round("wu_palmer_sim", 6).alias("wu_palmer_sim"))
 
 
-@query("""WITH n AS (SELECT 'n' || n_nationkey AS s, ['n' || n_nationkey, 'r' || n_regionkey] AS path FROM nation)
-    SELECT s, 'root' AS t, 2::BIGINT AS d, array_to_string(path, '>') AS path FROM n""")
+LEAVES = """n AS (SELECT 'c' || c_custkey AS s, c_nationkey AS k FROM customer UNION SELECT 's' || s_suppkey, s_nationkey FROM supplier),
+    w AS (SELECT s, 'n' || k AS a, 'r' || n_regionkey AS b FROM n JOIN nation ON k = n_nationkey)"""
+
+
+def to_root(spark: SparkSession, d: str) -> DataFrame:
+    c, s = (table(spark, d, t).select(F.concat(F.lit(t[0]), F.col(k).cast("string")).alias("s")) for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey")))
+    return c.unionAll(s).distinct().withColumn("t", F.lit("root"))
+
+
+@query(f"WITH {LEAVES} SELECT s, 'root' AS t, 3::BIGINT AS d, s || '>' || a || '>' || b AS path FROM w")
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("s"), F.lit("root").alias("t"))
-    return G.shortest_paths(star(spark, d), n).select("s", "t", "d", F.array_join(F.transform("path", lambda x: x["node"]), ">").alias("path"))
+    return G.shortest_paths(star(spark, d), to_root(spark, d)).select("s", "t", "d", F.array_join(F.transform("path", lambda x: x["node"]), ">").alias("path"))
 
 
-@query("""SELECT 'n' || n_nationkey AS s, 'root' AS t, 'n' || n_nationkey || '>r' || n_regionkey || '>root' AS path FROM nation""")
+@query(f"WITH {LEAVES} SELECT s, 'root' AS t, s || '>' || a || '>' || b || '>root' AS path FROM w")
 def all_paths(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("s"), F.lit("root").alias("t"))
-    return G.all_paths(star(spark, d), n).select("s", "t", F.array_join("path", ">").alias("path"))
+    return G.all_paths(star(spark, d), to_root(spark, d)).select("s", "t", F.array_join("path", ">").alias("path"))
 
 
 @query(f"""WITH {STAR}, c AS (SELECT 'c' || c_custkey AS s FROM customer)
@@ -701,9 +707,13 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     ws = Workspace(spark, "stream")
     rows = incremental.windowed_counts(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*"), "ts", "event_type")
-    name = "w" + ws.root[-12:]
-    rows.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", ws.root + "/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("start", "event_type", "n")
+    def keep(batch: DataFrame, k: int) -> None:
+        batch.select("start", "event_type", "n", F.lit(k).alias("k")).write.mode("overwrite").parquet(f"{ws.root}/out/batch={k}")
+
+    rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", ws.root + "/state").trigger(availableNow=True).start().awaitTermination()
+    # the last state of each window
+    out = spark.read.schema("start timestamp, event_type string, n bigint, k bigint").parquet(ws.root + "/out")
+    return out.groupBy("start", "event_type").agg(F.max_by("n", "k").alias("n"))
 
 
 @query(QGRAM_SQL + "SELECT e1, e2, round(p, 6) AS p FROM best")

@@ -1,6 +1,6 @@
 import random
 
-from tessera.operators.hierarchy import hierarchy, paths
+from tessera.operators.hierarchy import hierarchy, paths, resolve, several_parents
 
 
 def brute(links):
@@ -66,3 +66,17 @@ def test_paths_and_descendants(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "child string, parent string")
     assert hierarchy(df).count() == 0
+
+
+def test_several_parents_are_listed(spark):
+    df = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "b"), ("d", "b"), ("e", None), ("e", " "), (None, "b")], "child string, parent string")
+    assert [tuple(r) for r in several_parents(df).collect()] == [("a", ["b", "c"])]
+
+
+def test_splitters_do_not_depend_on_partitions(spark):
+    rows = [(f"n{k}", f"n{k // 3}") for k in range(1, 200)]
+    seen = []
+    for n in (1, 7):
+        _, _, words, _ = resolve(spark.createDataFrame(rows, "child string, parent string").repartition(n))
+        seen.append({r.id for r in words.where("code % 2 = 1").collect()})
+    assert seen[0] == seen[1] and seen[0]
