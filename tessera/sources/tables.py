@@ -64,14 +64,18 @@ def merge_sparse(tables: Sequence[DataFrame]) -> DataFrame:
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """``row, col, val`` of coordinates; comments and the size line are skipped."""
+    """``row, col, val`` of coordinates.  Comments are skipped, and in each file
+    the size line, the first line of numbers; files of entries only (such as parts
+    written by ``matrix_market_lines``) begin with another line and are told by
+    their lack of a comment."""
     pattern = r"^\s*(\d+)\s+(\d+)\s+([-+.\dEe]+)\s*$"
     at = lambda i: F.regexp_extract("value", pattern, i)
-    lines = spark.read.text(path).where(~F.col("value").startswith("%") & F.col("value").rlike(pattern))
-    # the size line is the first one: rows, columns, entries
-    lines = lines.withColumn("_n", F.monotonically_increasing_id())
-    first = lines.agg(F.min("_n").alias("_n"))
-    return lines.join(F.broadcast(first), "_n", "left_anti").select(at(1).cast("bigint").alias("row"), at(2).cast("bigint").alias("col"), at(3).cast("double").alias("val"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_n"))
+    entry = ~F.col("value").startswith("%") & F.col("value").rlike(pattern)
+    files = lines.groupBy("_file").agg(F.max(F.col("value").startswith("%")).alias("_head"), F.min(F.when(entry, F.col("_n"))).alias("_first"))
+    return lines.where(entry).join(files, "_file").where(~(F.col("_head") & (F.col("_n") == F.col("_first")))).select(
+        at(1).cast("bigint").alias("row"), at(2).cast("bigint").alias("col"), at(3).cast("double").alias("val")
+    )
 
 
 def to_double(c):
@@ -144,7 +148,7 @@ def dot_lines(edges: DataFrame, label: str | None = None) -> DataFrame:
 
 
 def matrix_market_lines(matrix: DataFrame) -> DataFrame:
-    """``row col val`` lines that ``read_matrix_market`` reads (after a size line)."""
+    """``row col val`` lines that ``read_matrix_market`` reads."""
     return matrix.select(F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"), F.col("val").cast("string")).alias("value"))
 
 
