@@ -543,14 +543,14 @@ def all_distances(spark: SparkSession, d: str) -> DataFrame:
         FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
     q AS (SELECT s, t, CASE WHEN cn = sn THEN 'n' || cn WHEN a.n_regionkey = b.n_regionkey THEN 'r' || a.n_regionkey ELSE 'root' END AS lcs
           FROM p JOIN nation a ON cn = a.n_nationkey JOIN nation b ON sn = b.n_nationkey)
-    SELECT s, t, lcs, CASE lcs[1:1] WHEN 'n' THEN 2.0 WHEN 'r' THEN CASE WHEN lcs = 'root' THEN 6.0 ELSE 4.0 END END::DOUBLE AS cotopic,
+    SELECT s, t, lcs, CASE lcs[1:1] WHEN 'n' THEN 2.0 WHEN 'r' THEN CASE WHEN lcs = 'root' THEN 6.0 ELSE 4.0 END END::DOUBLE AS cotopic, round(cotopic / 77, 6) AS cotopic_normalized,
       round(CASE WHEN lcs = 'root' THEN 0 WHEN lcs[1:1] = 'n' THEN 4 / 6 ELSE 2 / 6 END, 6) AS wu_palmer_sim FROM q""")
 def taxonomy_similarity(spark: SparkSession, d: str) -> DataFrame:
     # all customers and suppliers that an order brought together
     sold = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct()
     sold = sold.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
     two = sold.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("s"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("t"))
-    return G.similarity(star(spark, d), two, "root").select("s", "t", "lcs", "cotopic", F.round("wu_palmer_sim", 6).alias("wu_palmer_sim"))
+    return G.similarity(star(spark, d), two, "root").select("s", "t", "lcs", "cotopic", F.round("cotopic_normalized", 6).alias("cotopic_normalized"), F.round("wu_palmer_sim", 6).alias("wu_palmer_sim"))
 
 
 LEAVES = """n AS (SELECT 'c' || c_custkey AS s, c_nationkey AS k FROM customer UNION SELECT 's' || s_suppkey, s_nationkey FROM supplier),
@@ -723,3 +723,102 @@ def stream_matches(spark: SparkSession, d: str) -> DataFrame:
     cul = spark.readStream.schema(schema).parquet(f"{d}/cul_foods.parquet*").select("uri", F.lower("food_name").alias("label"))
     incremental.match_stream(cul, food_labels(spark, d)[1], 0.3, ws.root + "/out", ws.root + "/state")
     return spark.read.parquet(ws.root + "/out").groupBy("e1", "e2").agg(F.round(F.min("p"), 6).alias("p"))
+
+
+def _written(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    path = f"{Workspace(spark, 'lines').root}/{name}"
+    lines.write.text(path)
+    return path
+
+
+@query(f"WITH {MATCH} SELECT DISTINCT e1, e2, p FROM m")
+def lst_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    m = matchings(spark, d).select("e1", "e2", "p").distinct()
+    return tables.read_lst(spark, _written(spark, tables.lst_lines(m), "a.lst"))
+
+
+@query(f"WITH {MATCH} SELECT DISTINCT e1, e2, 1.0::DOUBLE AS p FROM m")
+def md_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    m = matchings(spark, d).select("e1", "e2").distinct()
+    return tables.read_md(spark, _written(spark, m.select(F.concat("e1", F.lit(" - "), "e2").alias("value")), "a.md"))
+
+
+@query(f"WITH {VECTORS} SELECT from_idx::VARCHAR AS e1, to_idx::VARCHAR AS e2, d0, d1, d2 FROM v")
+def distances_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors(spark, d).select(F.col("e1").cast("string").alias("e1"), F.col("e2").cast("string").alias("e2"), F.lit(None).cast("string").alias("lcs"), "dist")
+    path = Workspace(spark, "csv").root + "/d.csv"
+    tables.write_distances(v, path)
+    return tables.read_distances(spark, path, 3, True).select("e1", "e2", *[F.col("dist")[k].alias(f"d{k}") for k in range(3)])
+
+
+@query(f"WITH {STAR} SELECT src, dst FROM star")
+def dot_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return tables.read_dot(spark, _written(spark, tables.dot_lines(star(spark, d)), "g.dot"))
+
+
+@query("SELECT DISTINCT i, uri FROM entity_list")
+def entity_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return tables.read_entities(spark, _written(spark, tables.entity_lines(table(spark, d, "entity_list").select("i", "uri").distinct()), "e.lst"))
+
+
+@query(f"WITH {VECTORS} SELECT from_idx::BIGINT AS \"row\", to_idx::BIGINT AS col, d0 AS val FROM v WHERE d0 IS NOT NULL")
+def matrix_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors(spark, d).select(F.col("e1").alias("row"), F.col("e2").alias("col"), F.col("dist")[0].alias("val")).where("val is not null")
+    return tables.read_matrix_market(spark, _written(spark, tables.matrix_market_lines(v), "m.mm"))
+
+
+@query(f"""WITH {VECTORS}, x AS (SELECT from_idx, to_idx, 0 AS m, d0 AS d FROM v WHERE d0 IS NOT NULL UNION ALL SELECT from_idx, to_idx, 1, d2 FROM v WHERE d2 IS NOT NULL)
+    SELECT from_idx AS "from", to_idx AS "to", count(*)::INT AS n, min(m) AS first_m, arg_min(d, m) AS first_d FROM x GROUP BY 1, 2""")
+def merged_tables(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors(spark, d)
+    one = lambda k: v.select(F.col("e1").alias("i"), F.col("e2").alias("j"), F.col("dist")[k].alias("d")).where("d is not null")
+    out = tables.merge_sparse([one(0), one(2)])
+    return out.select("from", "to", F.size("sim").alias("n"), F.col("sim")[0]["m"].alias("first_m"), F.col("sim")[0]["d"].alias("first_d"))
+
+
+@query(f"""WITH {STAR} SELECT src, dst, CASE WHEN src[1:1] = 'n' THEN 0 ELSE 1 END::BIGINT AS w FROM star""")
+def joined_graphs(spark: SparkSession, d: str) -> DataFrame:
+    g = star(spark, d)
+    return G.join_graphs(g, g.where("src like 'n%'").withColumn("w", F.lit(0).cast("bigint")))
+
+
+@query("""SELECT * FROM (""" + f"""WITH {MATCH}, k AS (SELECT least(e1, e2) AS a, greatest(e1, e2) AS b, p, found_by FROM m),
+    g AS (SELECT a, b, min(p) AS p FROM k GROUP BY a, b), r AS (SELECT DISTINCT a, b FROM k WHERE found_by = 'manual'),
+    j AS (SELECT g.*, r.a IS NOT NULL AS hit FROM g LEFT JOIN r ON g.a = r.a AND g.b = r.b), ts AS (SELECT round(i * 0.01::DOUBLE, 6) AS t FROM range(0, 101) x(i)),
+    c AS (SELECT t, count(*) FILTER (p <= t AND hit) AS tp, count(*) FILTER (p <= t AND NOT hit) AS fp,
+                 (SELECT count(*) FROM r) - count(*) FILTER (p <= t AND hit) AS fn FROM ts, j GROUP BY t),""" + STATS.format(keys="t,") + """)
+    QUALIFY recall > coalesce(max(recall) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)""")
+def progressive_recall(spark: SparkSession, d: str) -> DataFrame:
+    m = matchings(spark, d)
+    return rounded(alignment.progressive(m, m.where("found_by = 'manual'"), 0.01))
+
+
+@query(SETS + " SELECT y.e1, y.e2, (SELECT count(*) FROM x WHERE least(x.e1, x.e2) = least(y.e1, y.e2) AND greatest(x.e1, x.e2) = greatest(y.e1, y.e2)) > 0 AS covered FROM (SELECT DISTINCT e1, e2 FROM y) y")
+def covered_pairs(spark: SparkSession, d: str) -> DataFrame:
+    x, y = _two(spark, d)
+    return alignment.covers(x, y.select("e1", "e2").distinct()).select("e1", "e2", "covered")
+
+
+@query(f"WITH {SHORT} SELECT DISTINCT s AS b, o AS label FROM t WHERE p = 'rdfs:label' AND o IS NOT NULL AND s IS NOT NULL ORDER BY b, label LIMIT 50 OFFSET 100")
+def page_of_labels(spark: SparkSession, d: str) -> DataFrame:
+    t = short_triples(spark, d).where("o is not null and s is not null")
+    return patterns.select(patterns.match(t, ("?b", "rdfs:label", "?label")), distinct=True, order=("?b", "?label"), limit=50, offset=100)
+
+
+@query(f"WITH {SHORT} SELECT DISTINCT s, p, o FROM t WHERE o = 'agr:Foodstuff' ORDER BY s, p, o LIMIT 5")
+def reverse_usage(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.usage(short_triples(spark, d), "agr:Foodstuff", 5, True)
+
+
+@query(f"""WITH {SHORT}, k AS (SELECT DISTINCT s FROM t WHERE p = 'rdf:type' AND o = 'agr:Foodstuff')
+    SELECT k.s AS uri, count(DISTINCT o)::INT AS n_labels FROM k LEFT JOIN t ON k.s = t.s AND p = 'rdfs:label' AND o IS NOT NULL GROUP BY 1""")
+def entities_by_type(spark: SparkSession, d: str) -> DataFrame:
+    found = rules.entities(short_triples(spark, d), ["rdfs:label"], ("rdf:type", "agr:Foodstuff"))
+    return found.select("uri", F.size("rdfs:label").alias("n_labels"))
+
+
+@query(f"""WITH {SHORT}, n AS (SELECT s AS k, min(o) AS n FROM t WHERE p = 'rdfs:label' GROUP BY s),
+    e AS (SELECT DISTINCT s, o FROM t WHERE p = 'rdfs:subClassOf' AND s IS NOT NULL AND trim(o) <> '')
+    SELECT DISTINCT coalesce(a.n, s) AS src, coalesce(b.n, o) AS dst, 1::BIGINT AS w FROM e LEFT JOIN n a ON s = a.k LEFT JOIN n b ON o = b.k""")
+def taxonomy_by_label(spark: SparkSession, d: str) -> DataFrame:
+    return G.by_label(short_triples(spark, d))[0]
