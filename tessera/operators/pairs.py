@@ -1,23 +1,25 @@
 """Similarity joins of two label sets: lossless blocking, then verification.
 
-A theta join ``d(a, b) <= t`` is never a cross join here.  Pairs are made by an
-equi-join on signatures that any two strings within ``t`` must share:
-
-* q-grams (Jaccard): several of the rarest grams of each set, out of as many as
-  the threshold allows not to be shared and these (prefix filter), plus a length
-  filter.
-* Levenshtein: pieces of the string (pigeonhole: with at most ``k`` edits one of
-  ``k + 1`` pieces is untouched), at places shifted by at most ``k``.
+A theta join ``d(a, b) <= t`` never compares texts with each other here.  Texts
+are told apart by sketches of 256 bits (``sketch_pairs``): strings within ``t``
+differ in few features, so their sketches differ in as few bits.
+
+* q-grams (Jaccard): the sets of grams differ in at most ``t / (2 - t)`` of both
+  sizes' sum.
+* Levenshtein: ``k`` edits change at most ``2 k`` signs and ``4 k`` 2-grams.
+* Jaro: the signs that don't match are bounded by the lengths.
 * token or key blocking for measures without such a bound (documented loss).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import distance as D
@@ -44,105 +46,162 @@ def _back(a: DataFrame, b: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(a, "x").join(b, "y").groupBy("e1", "e2").agg(F.min("d").alias("p"))
 
 
-def qgram_join(a: DataFrame, b: DataFrame, t: float, q: int = 2, inclusive: bool = True, common: int = 4) -> DataFrame:
+#: Most texts of a side in one tile, and tiles a side that a small table gets too.
+TILE, SPREAD = 100_000, 7
+
+
+def signs(c: Column) -> Column:
+    """Signs of a text, each with how often it came before."""
+    n = F.length(c)
+    at = lambda i: F.substring(c, i, F.lit(1))
+    nth = lambda i: i - F.length(F.replace(F.substring(c, F.lit(1), i), at(i), F.lit("")))
+    made = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(at(i), nth(i).cast("string")))
+    return F.when(n > 0, made).when(n == 0, F.array().cast("array<string>"))
+
+
+def _sketches(bits: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of features of each row, and its sketch: 256 bits in four words, of
+    which each feature flips one."""
+    n = np.diff(bits.offsets.to_numpy())
+    v = bits.flatten().to_numpy(zero_copy_only=False).view(np.uint8)
+    out = np.zeros((len(n), 4), np.uint64)
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(n)), n), v >> 6), np.uint64(1) << (v & 63).astype(np.uint64))
+    return n, out
+
+
+def _near(x: list[pa.ListArray], y: list[pa.ListArray], most: Callable[[int, np.ndarray], list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs whose sketches differ in at most ``most`` bits."""
+    (nx, _), (ny, _) = (made := [_sketches(c) for c in x])[0], (other := [_sketches(c) for c in y])[0]
+    order = np.argsort(ny, kind="stable")
+    ny, wx, wy = ny[order], [w for _, w in made], [w[order] for _, w in other]
+    # folded to one word, a sketch still differs in no more bits
+    fx, fy = np.bitwise_xor.reduce(wx[0], axis=1), np.bitwise_xor.reduce(wy[0], axis=1)
+    sizes, back = np.unique(ny, return_inverse=True)
+    high, wide = 8, 16_384
+    xor, count, ok = (np.empty(high * wide, t) for t in (np.uint64, np.uint8, bool))
+    for n in np.unique(nx):
+        rows, bound = np.flatnonzero(nx == n), [np.asarray(h, np.int64)[back] for h in most(int(n), sizes.astype(np.int64))]
+        fits = np.flatnonzero(bound[0] >= 0)
+        if not len(fits):
+            continue
+        first = np.clip(bound[0], -1, 64).astype(np.int8)
+        for c in range(fits[0], fits[-1] + 1, wide):
+            cols = min(wide, fits[-1] + 1 - c)
+            for r in range(0, len(rows), high):
+                part = rows[r : r + high]
+                shape = (len(part), cols)
+                a, b, o = (z[: len(part) * cols].reshape(shape) for z in (xor, count, ok))
+                np.bitwise_xor(fx[part, None], fy[None, c : c + cols], out=a)
+                np.bitwise_count(a, out=b)
+                np.less_equal(b.view(np.int8), first[None, c : c + cols], out=o)
+                hit = np.flatnonzero(o)
+                if not len(hit):
+                    continue
+                i, j = part[hit // cols], c + hit % cols
+                for p, q, h in zip(wx, wy, bound):
+                    keep = np.bitwise_count(p[i] ^ q[j]).sum(1, dtype=np.int64) <= h[j]
+                    i, j = i[keep], j[keep]
+                if len(i):
+                    yield i, order[j]
+
+
+def sketch_pairs(xs: DataFrame, ys: DataFrame, features: Sequence[Callable[[Column], Column]], most: Callable[[int, np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """``x, y``: the pairs of distinct texts ``x`` and ``y`` whose ``features``
+    (arrays) may differ in at most ``most`` elements each.  Lossless; pairs with
+    equal sketch bits by chance come too, so the caller verifies.
+
+    ``most`` takes a number of features of the first kind of ``x`` and those of many
+    ``y`` and gives, for each kind, how many elements of both sides may be without
+    partner; a negative bound leaves the pair out.  Both sides are dealt to
+    tiles, in each of which every sketch meets every other: two nanoseconds a pair,
+    whatever the texts, and a shuffle of each side once a tile of the other."""
+    ws, kinds = Workspace(xs.sparkSession, "sketches"), range(len(features))
+
+    def made(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+        bits = [F.transform(f(F.col(key)), lambda g: (F.xxhash64(g).bitwiseAND(F.lit(255)) - 128).cast("tinyint")).alias(f"b{k}") for k, f in enumerate(features)]
+        df = ws.cut(df.select(F.col(key).alias("v"), *bits), key)
+        n = df.count()
+        return df, max(math.ceil(n / TILE), min(SPREAD, math.ceil(n / 1000)), 1)
+
+    (x, kx), (y, ky) = made(xs, "x"), made(ys, "y")
+    own = lambda k: F.pmod(F.xxhash64("v"), F.lit(k)).cast("int")
+    all_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    x = x.withColumn("i", own(kx)).select("*", all_(ky).alias("j")).withColumn("left", F.lit(True))
+    y = y.withColumn("j", own(ky)).select("*", all_(kx).alias("i")).withColumn("left", F.lit(False))
+    rows = x.unionByName(y).withColumn("tile", F.col("i") * ky + F.col("j")).drop("i", "j").repartition(kx * ky, "tile")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        left = t.column("left").to_numpy()
+        a, b = t.filter(pa.array(left)).combine_chunks(), t.filter(pa.array(~left)).combine_chunks()
+        if not len(a) or not len(b):
+            return
+        one = lambda t, c: t.column(c).combine_chunks()
+        made = lambda i, j: pa.RecordBatch.from_arrays([one(a, "v").take(pa.array(i)), one(b, "v").take(pa.array(j))], ["x", "y"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for i, j in _near([one(a, f"b{k}") for k in kinds], [one(b, f"b{k}") for k in kinds], most):
+            held.append((i, j))
+            n += len(i)
+            if n >= 50_000:
+                yield made(*(np.concatenate(z) for z in zip(*held)))
+                held, n = [], 0
+        if held:
+            yield made(*(np.concatenate(z) for z in zip(*held)))
+
+    return rows.groupBy("tile").applyInArrow(run, "x string, y string")
+
+
+def qgram_join(a: DataFrame, b: DataFrame, t: float, q: int = 2, inclusive: bool = True) -> DataFrame:
     """``e1, e2, p``: all pairs with a q-gram distance of at most ``t`` (0 <= t
-    < 1), the smallest over their labels.  Lossless.
-
-    Two sets within ``t`` share at least ceil((1 - t) n) of n grams, so they
-    share ``common`` of their rarest n - ceil((1 - t) n) + ``common`` (fewer for
-    short texts); only pairs that do, and whose sizes agree, are verified."""
+    < 1), the smallest over their labels.  Lossless: sets of m and n grams within
+    ``t`` differ in at most (m + n) t / (2 - t)."""
     if not 0 <= t < 1:
         raise ValueError("0 <= t < 1")
     a, b, xs, ys = _texts(a, b)
-    ws = Workspace(a.sparkSession, "qgrams")
-    xs = ws.cut(xs.withColumn("gx", F.transform(D.grams(F.col("x"), q), lambda g: F.xxhash64(g))), "x")
-    ys = ws.cut(ys.withColumn("gy", F.transform(D.grams(F.col("y"), q), lambda g: F.xxhash64(g))), "y")
-    freq = xs.select(F.explode("gx").alias("w")).unionAll(ys.select(F.explode("gy").alias("w"))).groupBy("w").count()
-
-    def prefix(df: DataFrame, key: str, g: str) -> DataFrame:
-        n = F.size(g)
-        need = F.ceil((1 - t) * F.col("n") - 1e-9).cast("int")
-        w = Window.partitionBy(key).orderBy("count", "w")
-        rows = df.select(key, n.alias("n"), F.explode(g).alias("w")).join(freq, "w").withColumn("k", F.row_number().over(w))
-        rows = rows.withColumn("c", F.least(F.lit(common), need))
-        return rows.where(F.col("k") <= F.col("n") - need + F.col("c")).select(key, F.col("n").alias(f"n{key}"), F.col("c").alias(f"c{key}"), "w")
-
-    met = prefix(xs, "x", "gx").join(prefix(ys, "y", "gy"), "w").where(F.least("nx", "ny") >= (1 - t) * F.greatest("nx", "ny") - 1e-9)
-    cand = met.groupBy("x", "y").agg(F.count("*").alias("k"), F.min(F.least("cx", "cy")).alias("c")).where("k >= c").select("x", "y")
-    found = cand.join(xs, "x").join(ys, "y").select("x", "y", D.jaccard(F.col("gx"), F.col("gy")).alias("d"))
+
+    def most(m: int, n: np.ndarray) -> list[np.ndarray]:
+        apart = np.floor((m + n) * t / (2 - t) + 1e-9)
+        return [np.where(np.abs(m - n) <= apart, apart, -1)]
+
+    cand = sketch_pairs(xs, ys, [lambda c: D.grams(c, q)], most)
+    found = cand.select("x", "y", D.qgrams(F.col("x"), F.col("y"), q).alias("d"))
     return _back(a, b, found.where(F.col("d") <= t if inclusive else F.col("d") < t))
 
 
 def levenshtein_join(a: DataFrame, b: DataFrame, t: float, inclusive: bool = True) -> DataFrame:
     """``e1, e2, p``: all pairs with a normalised edit distance of at most ``t``
-    (0 <= t <= 0.5), the smallest over their labels.  Lossless: lengths that may
-    match are joined piecewise, the built-in stops at the threshold."""
+    (0 <= t <= 0.5), the smallest over their labels.  Lossless: with m = longest
+    length the pair has at most floor(t m) edits; the built-in stops there."""
     if not 0 <= t <= 0.5:
         raise ValueError("0 <= t <= 0.5")
     a, b, xs, ys = _texts(a, b)
-    n = F.length("y")
-    # with m = longest length the pair has at most floor(t m) edits
-    span = F.floor(n / (1 - t) + 1e-9)
-    lens = F.explode(F.sequence(F.ceil(n * (1 - t) - 1e-9).cast("int"), span.cast("int"))).alias("len")
-    most = F.floor(F.greatest("len", "ny") * t + 1e-9).cast("int")
-    # texts are cut by their length; partners look for each length's pieces
-    cut = lambda s, length, parts, i: F.substring(s, (F.floor(length * i / parts) + 1).cast("int"), (F.floor(length * (i + 1) / parts) - F.floor(length * i / parts)).cast("int"))
-    right_ = (
-        ys.select("y", n.alias("ny"), lens).withColumn("k", most)
-        .select("y", "ny", "len", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
-        .withColumn("at", (F.floor(F.col("len") * F.col("i") / (F.col("k") + 1)) + 1).cast("int"))
-        .withColumn("size", (F.floor(F.col("len") * (F.col("i") + 1) / (F.col("k") + 1)) - F.floor(F.col("len") * F.col("i") / (F.col("k") + 1))).cast("int"))
-        .select("y", "len", "k", "i", "size", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("k")), F.greatest(F.lit(1), F.col("at") + F.col("k")))).alias("from"))
-        .select("y", "len", "k", "i", F.substring(F.col("y"), F.col("from"), F.col("size")).alias("piece")).distinct()
-    )
-    ks = right_.select("len", "k").distinct()
-    left_ = (
-        xs.withColumn("len", F.length("x")).join(ks, "len")
-        .select("x", "len", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
-        .select("x", "len", "k", "i", cut(F.col("x"), F.col("len"), F.col("k") + 1, F.col("i")).alias("piece"))
-    )
-    cand = left_.join(right_, ["len", "k", "i", "piece"]).select("x", "y", "k").distinct()
+
+    def most(m: int, n: np.ndarray) -> list[np.ndarray]:
+        k = np.floor(np.maximum(m, n) * t + 1e-9)
+        k = np.where(np.abs(m - n) <= k, k, -1)
+        return [2 * k, 4 * k]
+
+    cand = sketch_pairs(xs, ys, [signs, lambda c: D.grams(c, 2)], most)
     longest = F.greatest(F.length("x"), F.length("y"))
+    cand = cand.withColumn("k", F.floor(longest * t + 1e-9).cast("int"))
     found = cand.withColumn("d", F.when(longest == 0, 0.0).otherwise(F.expr("levenshtein(x, y, k)") / longest)).where("d >= 0")
-    return _back(a, b, found.where(F.col("d") <= t if inclusive else F.col("d") < t).select("x", "y", "d").distinct())
+    return _back(a, b, found.where(F.col("d") <= t if inclusive else F.col("d") < t).select("x", "y", "d"))
 
 
 def jaro_candidates(xs: DataFrame, ys: DataFrame, t: float) -> DataFrame:
     """``x, y``: the pairs of texts ``x`` and ``y`` whose textbook Jaro distance may
-    be at most ``t`` (0 <= t < 2/3).  Lossless.
-
-    Texts of m and n signs within ``t`` match c >= (2 - 3t) m n / (m + n) signs, so
-    they share c elements (sign, how often before): three of the rarest m - c + 3
-    of one and n - c + 3 of the other (fewer if c is less).  Each set of three is a
-    key, once for every length that a partner may have."""
+    be at most ``t`` (0 <= t < 2/3).  Lossless: texts of m and n signs within ``t``
+    match c >= (2 - 3t) m n / (m + n) signs, so m + n - 2 c have no partner."""
     if not 0 <= t < 2 / 3:
         raise ValueError("0 <= t < 2/3")
-    xs, ys = xs.select("x").dropna().distinct(), ys.select("y").dropna().distinct()
-    ws = Workspace(xs.sparkSession, "jaro")
-
-    def bags(df: DataFrame, key: str) -> DataFrame:
-        at = df.where(F.length(key) > 0).select(key, F.explode(F.sequence(F.lit(1), F.length(key))).alias("i"))
-        signs = at.select(key, "i", F.substring(F.col(key), F.col("i"), F.lit(1)).alias("sign"))
-        return signs.select(key, "sign", F.row_number().over(Window.partitionBy(key, "sign").orderBy("i")).alias("nth"))
-
-    bx, by = ws.cut(bags(xs, "x"), "x"), ws.cut(bags(ys, "y"), "y")
-    freq = bx.drop("x").unionAll(by.drop("y")).groupBy("sign", "nth").count()
-    size = lambda df, key, n: df.groupBy(key).agg(F.count("*").cast("int").alias(n)).select(n).distinct()
-    least = F.ceil((2 - 3 * t) * F.col("m") * F.col("n") / (F.col("m") + F.col("n")) - 1e-9).cast("int")
-    lens = size(bx, "x", "m").crossJoin(size(by, "y", "n")).withColumn("c", F.greatest(F.lit(1), least)).where(F.col("c") <= F.least("m", "n"))
-
-    def keys(df: DataFrame, key: str, n: str) -> DataFrame:
-        bag = df.join(freq, ["sign", "nth"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("count", "sign", "nth"))).alias("bag"))
-        some = F.least(F.lit(3), "c")
-        rows = bag.withColumn(n, F.size("bag")).join(lens, n).withColumn("bag", F.slice("bag", F.lit(1), F.col(n) - F.col("c") + some))
-        rows = rows.withColumn("bag", F.transform("bag", lambda e: F.xxhash64(e["sign"], e["nth"])))
-        after = lambda i: F.slice("bag", i + 2, F.size("bag"))
-        two = F.flatten(F.transform("bag", lambda e, i: F.transform(after(i), lambda f: F.xxhash64(e, f))))
-        three = F.flatten(F.transform("bag", lambda e, i: F.flatten(F.transform(after(i), lambda f, j: F.transform(after(i + j + 1), lambda g: F.xxhash64(e, f, g))))))
-        return rows.select(key, "m", "n", F.explode(F.when(some == 3, three).when(some == 2, two).otherwise(F.col("bag"))).alias("k"))
-
-    empty = xs.where("x = ''").crossJoin(ys.where("y = ''"))
-    return keys(bx, "x", "m").join(keys(by, "y", "n"), ["m", "n", "k"]).select("x", "y").unionAll(empty).distinct()
+
+    def most(m: int, n: np.ndarray) -> list[np.ndarray]:
+        c = np.maximum(1, np.ceil((2 - 3 * t) * m * n / np.maximum(m + n, 1) - 1e-9))
+        apart = np.where(c <= np.minimum(m, n), m + n - 2 * c, -1)
+        return [np.where((m == 0) & (n == 0), 0, apart)]
+
+    return sketch_pairs(xs.select("x").dropna().distinct(), ys.select("y").dropna().distinct(), [signs], most)
 
 
 def equality_join(a: DataFrame, b: DataFrame, key: Callable[[Column], Column] = F.lower) -> DataFrame:

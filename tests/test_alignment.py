@@ -183,3 +183,32 @@ def test_soft_tfidf_query_compares_other_first_letters(spark, tmp_path):
     spark.createDataFrame([("c0", "roasted"), ("c1", "toasted"), ("c2", "plain bread")], "uri string, food_name string").write.parquet(f"{tmp_path}/cul_foods.parquet")
     spark.createDataFrame([("w0", "toasted")], "uri string, label string").write.parquet(f"{tmp_path}/wik_foods.parquet")
     assert {(r.id1, r.id2) for r in queries.soft_tfidf_pairs(spark, str(tmp_path)).collect()} == {("c0", "w0"), ("c1", "w0")}
+
+
+def foods(spark, path, n=150):
+    """Food tables of which many names share kind and preparation; their pairs of names."""
+    rng = random.Random(11)
+    coined = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(5))
+    cul = [f"{rng.choice(['golden', 'Roasted'])} {coined()} {rng.choice(['squash', 'tea'])}" for _ in range(n)]
+    wik = [x.replace("a", "e", k % 4) if k % 2 else f"golden {coined()} squash" for k, x in enumerate(cul)]
+    spark.createDataFrame([(f"c{k}", x) for k, x in enumerate(cul)] + [("c0", None)], "uri string, food_name string").write.parquet(f"{path}/cul_foods.parquet")
+    spark.createDataFrame([(f"w{k}", x) for k, x in enumerate(wik)], "uri string, label string").write.parquet(f"{path}/wik_foods.parquet")
+    return [(f"c{i}", f"w{j}", x.lower(), y.lower()) for i, x in enumerate(cul) for j, y in enumerate(wik)]
+
+
+def by_sketches(df):
+    """Whether the pairs come from sketches, not from a join on single grams or pieces."""
+    return "FlatMapGroupsInArrow" in df._jdf.queryExecution().toString()
+
+
+def test_name_alignment_by_sketches(spark, tmp_path):
+    from tessera.plans import queries
+
+    names = foods(spark, tmp_path)
+    got = queries.name_alignment(spark, str(tmp_path))
+    assert by_sketches(got) and {(r.e1, r.e2) for r in got.collect()} == {(a, b) for a, b, x, y in names if qgram(x, y) <= 0.3 + 1e-12}
+    xs, ys = (spark.createDataFrame([(v,) for v in {r[k] for r in names}], c) for k, c in ((2, "x string"), (3, "y string")))
+    most = lambda m, n: [(m + n) * 0.3 / 1.7]
+    near = pairs.sketch_pairs(xs, ys, [lambda c: D.grams(c, 2)], most).count()
+    # a common rare gram would pair the half that shares a kind
+    assert near < 0.1 * xs.count() * ys.count()
