@@ -7,12 +7,16 @@ shared folder.  Cycles end because a row must get strictly better.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.curie import shorten
+from tessera.operators.hierarchy import _double
 from tessera.plans.runtime import Workspace
 
 # Predicates that make a taxonomy, predicates that name things.
@@ -260,6 +264,81 @@ def subsumed(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return reachable(reverse(edges), roots).select(F.col("s").alias("root"), "node")
 
 
+#: Most words of 64 roots that a task of ``subtree_sizes`` follows at once.
+ROOT_WORDS = 32
+
+
+def subtree_sizes(edges: DataFrame, roots: DataFrame, marked: DataFrame) -> DataFrame:
+    """``root, marked, nodes``: how many descendants each root (``id``) has, itself
+    included, and how many of them are among ``marked`` (``id``), without a row for
+    each pair of both.
+
+    Nodes with one parent count for the next node up that is a root or has several
+    (pointer doubling; those whose way up is a cycle count for none).  The graph
+    of these nodes goes to tasks that follow a share of the roots each, as bits,
+    along all edges until nothing is new."""
+    ws = Workspace(edges.sparkSession, "subtrees")
+    up = ws.cut(edges.select("src", "dst").distinct(), "up")
+    tops = ws.cut(roots.select("id").distinct(), "tops")
+    one = up.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("parent"))
+    ids = nodes(up).unionAll(tops).distinct().join(one, "id", "left").join(tops.withColumn("top", F.lit(True)), "id", "left")
+    stop = F.col("top").isNotNull() | F.coalesce(F.col("n") != 1, F.lit(True))
+    zero = F.lit(0).cast("long")
+    start = ids.select(F.col("id").alias("v"), F.when(stop, F.col("id")).otherwise(F.col("parent")).alias("tgt"), zero.alias("dist"), zero.alias("mn"), stop.alias("done"))
+    ends = _double(ws, start, "end", None)[0].where("done").select("v", "tgt")
+    hit = marked.select(F.col("id").alias("v")).distinct().withColumn("hit", F.lit(1))
+    weight = ends.join(hit, "v", "left").groupBy(F.col("tgt").alias("id")).agg(F.count("hit").alias("m"), F.count("*").alias("n"))
+    # a root's edge to itself keeps those in whose descendants have one parent each
+    steps = up.join(ends.where("v = tgt").select(F.col("v").alias("src")), "src").join(ends.select(F.col("v").alias("dst"), "tgt"), "dst")
+    steps = steps.select("src", F.col("tgt").alias("dst")).unionAll(tops.select(F.col("id").alias("src"), F.col("id").alias("dst"))).distinct()
+    coded, words = numeric(ws.cut(steps.withColumn("w", zero), "steps"))
+    words = ws.cut(words, "words")
+    n = tops.count()
+    width = max(1, min(ROOT_WORDS, math.ceil(n / (64 * 48))))
+    parts = max(1, math.ceil(n / (64 * width)))
+    row = lambda df, kind, *c: df.select(F.lit(kind).alias("kind"), *[(F.col(x) if x else zero).cast("long").alias(k) for k, x in zip("abc", c)])
+    shared = row(coded, 0, "dst", "src", None).unionAll(row(weight.join(words, "id"), 1, "code", "n", "m"))
+    shared = shared.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    own = row(tops.join(words, "id"), 2, "code", None, None).withColumn("part", F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int"))
+    found = shared.unionByName(own).repartition(parts, "part").groupBy("part").applyInArrow(_follow, "code long, marked long, nodes long")
+    return found.join(words, "code").select(F.col("id").alias("root"), "marked", "nodes")
+
+
+def _follow(t: pa.Table) -> pa.Table:
+    """Edges ``a, b`` (kind 0), nodes ``a`` with weights ``b, c`` (1) and roots ``a``
+    (2) -> the summed weights of what each root reaches."""
+    kind, a, b, c = (t.column(k).to_numpy() for k in ("kind", "a", "b", "c"))
+    roots = a[kind == 2]
+    src, dst = a[kind == 0], b[kind == 0]
+    order = np.argsort(dst, kind="stable")
+    src, dst = src[order], dst[order]
+    size = int(a[kind < 2].max(initial=-1)) + 1
+    weights = np.zeros((2, size))
+    weights[:, a[kind == 1]] = c[kind == 1], b[kind == 1]
+    sums = []
+    for at in range(0, len(roots), 64 * ROOT_WORDS):
+        some = roots[at : at + 64 * ROOT_WORDS]
+        k = np.arange(len(some))
+        reach = np.zeros((size, -(-len(some) // 64)), np.uint64)
+        reach[some, k // 64] = np.uint64(1) << (k % 64).astype(np.uint64)
+        new = np.zeros(size, bool)
+        new[some] = True
+        while new.any():
+            live = np.flatnonzero(new[src])
+            new[:] = False
+            for lo in range(0, len(live), 200_000):
+                part = live[lo : lo + 200_000]
+                to, first = np.unique(dst[part], return_index=True)
+                got = np.bitwise_or.reduceat(reach[src[part]], first, axis=0) | reach[to]
+                new[to[(got != reach[to]).any(1)]] = True
+                reach[to] = got
+        for w in range(reach.shape[1]):
+            bits = np.unpackbits(np.ascontiguousarray(reach[:, w : w + 1]).view(np.uint8), axis=1, bitorder="little")
+            sums.append((weights @ bits.astype(np.float64))[:, : max(0, min(64, len(some) - 64 * w))])
+    both = np.concatenate(sums, axis=1).astype(np.int64) if sums else np.zeros((2, 0), np.int64)
+    return pa.table({"code": pa.array(roots, pa.int64()), "marked": pa.array(both[0]), "nodes": pa.array(both[1])})
+
+
 def leafs(edges: DataFrame) -> DataFrame:
     """Nodes without an edge into them."""
     return nodes(edges).join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
