@@ -69,30 +69,34 @@ def _sketches(bits: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return n, out
 
 
-def _near(x: list[pa.ListArray], y: list[pa.ListArray], most: Callable[[int, np.ndarray], list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near(x: list[pa.ListArray], y: list[pa.ListArray], most: Callable[[int, np.ndarray], list[np.ndarray]], lead: int = 0, folds: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of the pairs whose sketches differ in at most ``most`` bits."""
     (nx, _), (ny, _) = (made := [_sketches(c) for c in x])[0], (other := [_sketches(c) for c in y])[0]
     order = np.argsort(ny, kind="stable")
     ny, wx, wy = ny[order], [w for _, w in made], [w[order] for _, w in other]
-    # folded to one word, a sketch still differs in no more bits
-    fx, fy = np.bitwise_xor.reduce(wx[0], axis=1), np.bitwise_xor.reduce(wy[0], axis=1)
+    # folded to one word or two, a sketch still differs in no more bits
+    fold = lambda w: [np.bitwise_xor.reduce(w[lead][:, k::folds], axis=1) for k in range(folds)]
+    fx, fy = fold(wx), fold(wy)
     sizes, back = np.unique(ny, return_inverse=True)
     high, wide = 8, 16_384
-    xor, count, ok = (np.empty(high * wide, t) for t in (np.uint64, np.uint8, bool))
+    xor, count, more, ok = (np.empty(high * wide, t) for t in (np.uint64, np.uint8, np.uint8, bool))
     for n in np.unique(nx):
         rows, bound = np.flatnonzero(nx == n), [np.asarray(h, np.int64)[back] for h in most(int(n), sizes.astype(np.int64))]
         fits = np.flatnonzero(bound[0] >= 0)
         if not len(fits):
             continue
-        first = np.clip(bound[0], -1, 64).astype(np.int8)
+        first = np.where(bound[0] < 0, -1, np.minimum(bound[lead], 127)).astype(np.int8)
         for c in range(fits[0], fits[-1] + 1, wide):
             cols = min(wide, fits[-1] + 1 - c)
             for r in range(0, len(rows), high):
                 part = rows[r : r + high]
                 shape = (len(part), cols)
-                a, b, o = (z[: len(part) * cols].reshape(shape) for z in (xor, count, ok))
-                np.bitwise_xor(fx[part, None], fy[None, c : c + cols], out=a)
+                a, b, m, o = (z[: len(part) * cols].reshape(shape) for z in (xor, count, more, ok))
+                np.bitwise_xor(fx[0][part, None], fy[0][None, c : c + cols], out=a)
                 np.bitwise_count(a, out=b)
+                for p, q in zip(fx[1:], fy[1:]):
+                    np.bitwise_xor(p[part, None], q[None, c : c + cols], out=a)
+                    np.add(b, np.bitwise_count(a, out=m), out=b)
                 np.less_equal(b.view(np.int8), first[None, c : c + cols], out=o)
                 hit = np.flatnonzero(o)
                 if not len(hit):
@@ -105,14 +109,15 @@ def _near(x: list[pa.ListArray], y: list[pa.ListArray], most: Callable[[int, np.
                     yield i, order[j]
 
 
-def sketch_pairs(xs: DataFrame, ys: DataFrame, features: Sequence[Callable[[Column], Column]], most: Callable[[int, np.ndarray], list[np.ndarray]]) -> DataFrame:
+def sketch_pairs(xs: DataFrame, ys: DataFrame, features: Sequence[Callable[[Column], Column]], most: Callable[[int, np.ndarray], list[np.ndarray]], lead: int = 0, folds: int = 1) -> DataFrame:
     """``x, y``: the pairs of distinct texts ``x`` and ``y`` whose ``features``
     (arrays) may differ in at most ``most`` elements each.  Lossless; pairs with
     equal sketch bits by chance come too, so the caller verifies.
 
     ``most`` takes a number of features of the first kind of ``x`` and those of many
     ``y`` and gives, for each kind, how many elements of both sides may be without
-    partner; a negative bound leaves the pair out.  Both sides are dealt to
+    partner; a negative first bound leaves the pair out.  All pairs are told apart by the kind
+    ``lead``, folded to ``folds`` words; the rest by all.  Both sides are dealt to
     tiles, in each of which every sketch meets every other: two nanoseconds a pair,
     whatever the texts, and a shuffle of each side once a tile of the other."""
     ws, kinds = Workspace(xs.sparkSession, "sketches"), range(len(features))
@@ -140,7 +145,7 @@ def sketch_pairs(xs: DataFrame, ys: DataFrame, features: Sequence[Callable[[Colu
         made = lambda i, j: pa.RecordBatch.from_arrays([one(a, "v").take(pa.array(i)), one(b, "v").take(pa.array(j))], ["x", "y"])
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
-        for i, j in _near([one(a, f"b{k}") for k in kinds], [one(b, f"b{k}") for k in kinds], most):
+        for i, j in _near([one(a, f"b{k}") for k in kinds], [one(b, f"b{k}") for k in kinds], most, lead, folds):
             held.append((i, j))
             n += len(i)
             if n >= 50_000:
@@ -182,7 +187,7 @@ def levenshtein_join(a: DataFrame, b: DataFrame, t: float, inclusive: bool = Tru
         k = np.where(np.abs(m - n) <= k, k, -1)
         return [2 * k, 4 * k]
 
-    cand = sketch_pairs(xs, ys, [signs, lambda c: D.grams(c, 2)], most)
+    cand = sketch_pairs(xs, ys, [signs, lambda c: D.grams(c, 2)], most, lead=1, folds=2)
     longest = F.greatest(F.length("x"), F.length("y"))
     cand = cand.withColumn("k", F.floor(longest * t + 1e-9).cast("int"))
     found = cand.withColumn("d", F.when(longest == 0, 0.0).otherwise(F.expr("levenshtein(x, y, k)") / longest)).where("d >= 0")

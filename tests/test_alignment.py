@@ -212,3 +212,11 @@ def test_name_alignment_by_sketches(spark, tmp_path):
     near = pairs.sketch_pairs(xs, ys, [lambda c: D.grams(c, 2)], most).count()
     # a common rare gram would pair the half that shares a kind
     assert near < 0.1 * xs.count() * ys.count()
+
+
+def test_levenshtein_alignment_by_sketches(spark, tmp_path):
+    from tessera.plans import queries
+
+    names = foods(spark, tmp_path)
+    got = queries.levenshtein_alignment(spark, str(tmp_path))
+    assert by_sketches(got) and {(r.e1, r.e2) for r in got.collect()} == {(a, b) for a, b, x, y in names if abs(len(x) - len(y)) <= 5 and lev(x, y) <= 0.2 + 1e-12}
