@@ -228,3 +228,11 @@ def test_buckets_by_sketches(spark, tmp_path):
     names = foods(spark, tmp_path)
     got = queries.threshold_buckets(spark, str(tmp_path))
     assert by_sketches(got) and {(r.e1, r.e2) for r in got.where("bucket <> 'loose'").collect()} == {(a, b) for a, b, x, y in names if qgram(x, y) <= 0.2 + 1e-12}
+
+
+def test_rule_links_by_sketches(spark, tmp_path):
+    from tessera.plans import queries
+
+    names = foods(spark, tmp_path)
+    got = queries.rule_links(spark, str(tmp_path))
+    assert by_sketches(got) and {(r.source, r.target) for r in got.collect()} == {(a, b) for a, b, x, y in names if qgram(x, y) <= 0.25 + 1e-12}
