@@ -236,3 +236,12 @@ def test_rule_links_by_sketches(spark, tmp_path):
     names = foods(spark, tmp_path)
     got = queries.rule_links(spark, str(tmp_path))
     assert by_sketches(got) and {(r.source, r.target) for r in got.collect()} == {(a, b) for a, b, x, y in names if qgram(x, y) <= 0.25 + 1e-12}
+
+
+def test_stream_matches_by_sketches(spark, tmp_path, monkeypatch):
+    from tessera.plans import queries
+
+    names, seen, join = foods(spark, tmp_path), [], pairs.qgram_join
+    monkeypatch.setattr(pairs, "qgram_join", lambda *a: (seen.append(df := join(*a)), df)[1])
+    got = queries.stream_matches(spark, str(tmp_path))
+    assert {(r.e1, r.e2) for r in got.collect()} == {(a, b) for a, b, x, y in names if qgram(x, y) <= 0.3 + 1e-12} and all(map(by_sketches, seen))
