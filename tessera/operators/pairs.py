@@ -169,7 +169,7 @@ def qgram_join(a: DataFrame, b: DataFrame, t: float, q: int = 2, inclusive: bool
         apart = np.floor((m + n) * t / (2 - t) + 1e-9)
         return [np.where(np.abs(m - n) <= apart, apart, -1)]
 
-    cand = sketch_pairs(xs, ys, [lambda c: D.grams(c, q)], most)
+    cand = sketch_pairs(xs, ys, [lambda c: D.grams(c, q)], most, folds=1 if t < 0.4 else 2)
     found = cand.select("x", "y", D.qgrams(F.col("x"), F.col("y"), q).alias("d"))
     return _back(a, b, found.where(F.col("d") <= t if inclusive else F.col("d") < t))
 
