@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -250,19 +249,35 @@ def vectors(pairs: DataFrame, a: DataFrame, b: DataFrame, measures: Sequence[str
     rows = pairs.select("e1", "e2").distinct().join(xs, "e1").join(ys, "e2")
     made = D.vector(F.col("x"), F.col("y"))
     texts = rows.select("x", "y").distinct().select("x", "y", *[made[m].alias(m) for m in measures])
+    return _best(rows.join(texts, ["x", "y"]), ["e1", "e2"], measures, prefilter)
+
+
+def _best(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], prefilter: float | None) -> DataFrame:
     scores = D.VECTOR[:5]
-    out = rows.join(texts, ["x", "y"]).groupBy("e1", "e2").agg(*[(F.max if m in scores else F.min)(m).alias(m) for m in measures])
+    out = rows.groupBy(*keys).agg(*[(F.max if m in scores else F.min)(m).alias(m) for m in measures]).select("e1", "e2", *measures)
     if prefilter is not None:
         near = [F.coalesce(F.col(m), F.lit(math.inf)) for m in measures if m not in scores]
         out = out.where(F.array_min(F.array(*near)) <= prefilter)
     return out
 
 
-def near_pairs(a: DataFrame, b: DataFrame, levenshtein: float = 0.2, qgrams: float = 0.3) -> DataFrame:
-    """``e1, e2``: pairs within a Levenshtein or 2-gram distance or equal but for
-    case and accents: the union of lossless joins, each pair once."""
-    found = [levenshtein_join(a, b, levenshtein), qgram_join(a, b, qgrams), relaxed_join(a, b)]
-    return reduce(DataFrame.unionAll, (x.select("e1", "e2") for x in found)).distinct()
+def all_vectors(a: DataFrame, b: DataFrame, measures: Sequence[str] = tuple(D.VECTOR), prefilter: float | None = None) -> DataFrame:
+    """``vectors`` of all pairs of two sides, as Jaro, ISub and Monge-Elkan have no
+    lossless join: their number is the product of both sides.  Entities meet in
+    tiles, where their labels are compared too, so pairs are not shuffled."""
+    xs, ys = sides(a, b)
+    ws = Workspace(xs.sparkSession, "vectors")
+    xs, ys = ws.cut(xs, "x"), ws.cut(ys, "y")
+    kx, ky = (max(1, math.ceil(df.count() / 120)) for df in (xs, ys))
+    own = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
+    all_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    # few tiles a side are enough for the tasks; more would only be copies
+    kx, ky = min(kx, SPREAD * 4), min(ky, SPREAD * 4)
+    xs, ys = xs.select("e1", "x", own("e1", kx).alias("i"), all_(ky).alias("j")), ys.select("e2", "y", all_(kx).alias("i"), own("e2", ky).alias("j"))
+    tiled = lambda df: df.withColumn("tile", F.col("i") * ky + F.col("j")).drop("i", "j").repartition(kx * ky, "tile")
+    met = tiled(xs).join(tiled(ys), "tile")
+    made = D.vector(F.col("x"), F.col("y"))
+    return _best(met.select("tile", "e1", "e2", *[made[m].alias(m) for m in measures]), ["tile", "e1", "e2"], measures, prefilter)
 
 
 def buckets(matches: DataFrame, thresholds: dict[str, float]) -> DataFrame:
