@@ -245,3 +245,51 @@ def test_stream_matches_by_sketches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pairs, "qgram_join", lambda *a: (seen.append(df := join(*a)), df)[1])
     got = queries.stream_matches(spark, str(tmp_path))
     assert {(r.e1, r.e2) for r in got.collect()} == {(a, b) for a, b, x, y in names if qgram(x, y) <= 0.3 + 1e-12} and all(map(by_sketches, seen))
+
+
+def test_rare_tokens_find_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(f"d{k}", " ".join([rng.choice(["golden", "young"]), f"name{rng.randrange(25)}", rng.choice(["tea", "jam"])])) for k in range(90)] + [("e", "golden tea"), ("f", "tea golden")]
+    docs = spark.createDataFrame(rows, "id string, label string")
+    w = corpus.idf(docs)
+    key = lambda df, t: {(r.id1, r.id2, round(r.sim, 6)) for r in df.where(F.col("sim") > t).collect()}
+    every = corpus.tfidf(docs, docs, w)
+    assert key(corpus.tfidf(docs, docs, w, 0.9), 0.9) == key(every, 0.9) and ("e", "f") in {r[:2] for r in key(every, 0.9)}
+    assert corpus._leading(corpus._vectors(docs, w), F.col("v") ** 2, 0.81).where("id like 'd%' and token in ('tea', 'jam')").count() == 0
+    inner = lambda a, b: 1 - D.jaro_winkler_standard(a, b)
+    soft = corpus.soft_tfidf(docs, docs, w, inner, 0.9, candidates=lambda x, y: pairs.jaro_candidates(x, y, 0.1 / 0.6))
+    found = corpus.soft_tfidf(docs, docs, w, inner, 0.9, 0.8, candidates=lambda x, y: pairs.jaro_candidates(x, y, 0.1 / 0.6))
+    assert key(found, 0.8) == key(soft, 0.8)
+
+
+def test_pairs_sharing_a_key_come_once_and_unshuffled(spark):
+    a = spark.createDataFrame([("u", ["x", "y"], ["oat"]), ("v", ["z"], ["oats", "rye"])], "uri string, code array<string>, name array<string>")
+    rule = rules.Aggregation([rules.Comparison("code", "code", D.equality, 0.0, True), rules.Comparison("name", "name", D.levenshtein, 0.3)])
+    out = rules.generate_links(rule, a, a, lambda: F.col("code"), lambda: F.col("code"))
+    assert sorted((r.source, r.target, r.confidence) for r in out.collect()) == [("u", "u", 1.0), ("v", "v", 1.0)]
+    assert "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_subtree_sizes(spark):
+    from tessera.operators import taxonomy as G
+
+    rng = random.Random(6)
+    e = {(f"n{i}", f"n{rng.randrange(max(0, i - 30), i)}") for i in range(5, 200) for _ in range(rng.choice([1, 1, 2]))} | {("x", "y"), ("y", "x"), ("z", "y"), ("n7", "z")}
+    up = {}
+    for s, t in e:
+        up.setdefault(s, set()).add(t)
+    below = {}
+    for v in {x for r in e for x in r}:
+        seen, todo = {v}, [v]
+        while todo:
+            for t in up.get(todo.pop(), ()):
+                if t not in seen:
+                    seen.add(t)
+                    todo.append(t)
+        for t in seen:
+            below.setdefault(t, set()).add(v)
+    edges = spark.createDataFrame([(s, t, 1) for s, t in e], "src string, dst string, w bigint")
+    roots = spark.createDataFrame([(f"n{k}",) for k in range(5)] + [("n50",)], "id string")
+    marked = spark.createDataFrame([(f"n{k}",) for k in range(0, 200, 3)], "id string")
+    got = {r.root: (r.marked, r.nodes) for r in G.subtree_sizes(edges, roots, marked).collect()}
+    assert got == {r: (sum(int(v[1:]) % 3 == 0 for v in below[r] if v[0] == "n"), len(below[r])) for r in ("n0", "n1", "n2", "n3", "n4", "n50") if r in below}
