@@ -306,7 +306,8 @@ def monge_elkan(a: Column, b: Column) -> Column:
 def best_of(measure: Callable[[Column, Column], Column], xs: Column, ys: Column) -> Column:
     """Smallest distance over all pairs of two value sets, for JVM measures
     (others: ``best_by_pair``); no values on a side: null."""
-    return F.array_min(F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: measure(x, y)))))
+    every = F.array_min(F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: measure(x, y)))))
+    return F.when((F.size(xs) == 1) & (F.size(ys) == 1), measure(F.get(xs, F.lit(0)), F.get(ys, F.lit(0)))).otherwise(every)
 
 
 def best_by_pair(df: DataFrame, keys: list[str], measure: Callable[[Column, Column], Column], xs: Column, ys: Column, name: str) -> DataFrame:

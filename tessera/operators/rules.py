@@ -19,6 +19,9 @@ from tessera.functions import text as X
 from tessera.functions.aggregate import combined, confidence
 from tessera.operators import alignment
 
+#: Tasks that share the rows of one blocking key.
+SPREAD = 8
+
 
 @dataclass
 class Comparison:
@@ -135,17 +138,25 @@ def generate_links(rule: Rule, a: DataFrame, b: DataFrame, keys_a: Callable[[],
         left, right = block or tuple(next(iter(sorted(s))) for s in rule.paths())
         make = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda v: F.concat(F.split(F.lower(v), r"[^\p{L}\p{Nd}]+"), F.array(F.lower(v))))))
         keys_a, keys_b = (lambda: make(F.col(left))), (lambda: make(F.col(right)))
-    if candidates is None:
-        ka = a.select("uri", F.explode(keys_a()).alias("k")).where("k <> ''")
-        kb = b.select("uri", F.explode(keys_b()).alias("k")).where("k <> ''")
-        candidates = ka.toDF("source", "k").join(kb.toDF("target", "k"), "k")
-    pairs = candidates.select("source", "target").distinct()
-    left = a.select(F.col("uri").alias("source"), *[F.col(f"`{c}`").alias(f"a_{c}") for c in a.columns if c != "uri"])
-    right = b.select(F.col("uri").alias("target"), *[F.col(f"`{c}`").alias(f"b_{c}") for c in b.columns if c != "uri"])
-    rule, rows = with_distances(rule, pairs.join(left, "source").join(right, "target"))
+    keys = lambda made: [F.array_distinct(F.filter(made(), lambda k: k != "")).alias("_keys")] if candidates is None else []
+    left = a.select(F.col("uri").alias("source"), *[F.col(f"`{c}`").alias(f"a_{c}") for c in a.columns if c != "uri"], *keys(keys_a))
+    right = b.select(F.col("uri").alias("target"), *[F.col(f"`{c}`").alias(f"b_{c}") for c in b.columns if c != "uri"], *keys(keys_b))
+    pairs = _sharing_a_key(left, right) if candidates is None else candidates.select("source", "target").distinct().join(left, "source").join(right, "target")
+    rule, rows = with_distances(rule, pairs)
     return rows.select("source", "target", rule.column().alias("confidence")).where("confidence >= 0")
 
 
+def _sharing_a_key(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The pairs of rows with a common element of ``_keys``, each once: where they
+    meet by their smallest common key.  Only the two sides are shuffled, not the
+    pairs; rows of a frequent key are dealt to several tasks."""
+    left = left.withColumn("_part", F.pmod(F.xxhash64("source"), F.lit(SPREAD))).select("*", F.explode("_keys").alias("_key"))
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))).select("*", F.explode("_keys").alias("_key"))
+    left, right = (df.withColumnRenamed("_keys", f"_keys_{k}").repartition(SPREAD * 8, "_key", "_part") for k, df in (("a", left), ("b", right)))
+    met = left.join(right, ["_key", "_part"]).where(F.array_min(F.array_intersect("_keys_a", "_keys_b")) == F.col("_key"))
+    return met.drop("_key", "_part", "_keys_a", "_keys_b")
+
+
 def required_pairs(c: Comparison, a: DataFrame, b: DataFrame) -> DataFrame:
     """``source, target`` that may meet a required comparison: its threshold is a
     lossless similarity join of the transformed values.  Measures without one are
