@@ -293,3 +293,10 @@ def test_subtree_sizes(spark):
     marked = spark.createDataFrame([(f"n{k}",) for k in range(0, 200, 3)], "id string")
     got = {r.root: (r.marked, r.nodes) for r in G.subtree_sizes(edges, roots, marked).collect()}
     assert got == {r: (sum(int(v[1:]) % 3 == 0 for v in below[r] if v[0] == "n"), len(below[r])) for r in ("n0", "n1", "n2", "n3", "n4", "n50") if r in below}
+
+
+def test_jaro_winkler_and_duplicates_by_sketches(spark, tmp_path):
+    from tessera.plans import queries
+
+    foods(spark, tmp_path, 40)
+    assert by_sketches(queries.jaro_winkler_rule(spark, str(tmp_path))) and by_sketches(queries.near_duplicates(spark, str(tmp_path)))
