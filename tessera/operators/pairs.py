@@ -18,7 +18,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.ipc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import distance as D
@@ -26,17 +27,19 @@ from tessera.functions.aggregate import confidence
 from tessera.plans.runtime import Workspace
 
 
+def _rows(df: DataFrame, e: str, label: str) -> DataFrame:
+    return df.select(F.col(df.columns[0]).alias(e), F.col(df.columns[1]).alias(label)).dropna()
+
+
 def sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(e, label)`` tables -> distinct ``(e1, x)`` and ``(e2, y)``, no nulls."""
-    return (
-        a.select(F.col(a.columns[0]).alias("e1"), F.col(a.columns[1]).alias("x")).dropna().distinct(),
-        b.select(F.col(b.columns[0]).alias("e2"), F.col(b.columns[1]).alias("y")).dropna().distinct(),
-    )
+    return _rows(a, "e1", "x").distinct(), _rows(b, "e2", "y").distinct()
 
 
 def _texts(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Sides and their distinct texts: texts are joined, entities come back last."""
-    a, b = sides(a, b)
+    """Sides, whose rows may repeat, and their distinct texts: texts are joined,
+    entities come back last."""
+    a, b = _rows(a, "e1", "x"), _rows(b, "e2", "y")
     return a, b, a.select("x").distinct(), b.select("y").distinct()
 
 
@@ -45,8 +48,9 @@ def _back(a: DataFrame, b: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(a, "x").join(b, "y").groupBy("e1", "e2").agg(F.min("d").alias("p"))
 
 
-#: Most texts of a side in one tile, and tiles a side that a small table gets too.
-TILE, SPREAD = 100_000, 7
+#: Most texts of a side in one tile, and tiles of either side that a small table gets
+#: too: copies cost disk, so there are no more tiles than keep the tasks busy.
+TILE, SPREAD = 200_000, (4, 3)
 
 
 def signs(c: Column) -> Column:
@@ -97,7 +101,11 @@ def _near(x: list[pa.ListArray], y: list[pa.ListArray], most: Callable[[int, np.
                     np.bitwise_xor(p[part, None], q[None, c : c + cols], out=a)
                     np.add(b, np.bitwise_count(a, out=m), out=b)
                 np.less_equal(b.view(np.int8), first[None, c : c + cols], out=o)
-                hit = np.flatnonzero(o)
+                ok[o.size : -(-o.size // 8) * 8] = False
+                # eight at once, as hits are rare
+                eight = np.flatnonzero(ok[: -(-o.size // 8) * 8].view(np.uint64))
+                at, nth = np.nonzero(ok.reshape(-1, 8)[eight])
+                hit = eight[at] * 8 + nth
                 if not len(hit):
                     continue
                 i, j = part[hit // cols], c + hit % cols
@@ -108,6 +116,25 @@ def _near(x: list[pa.ListArray], y: list[pa.ListArray], most: Callable[[int, np.
                     yield i, order[j]
 
 
+def _written(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(t.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _read(body: bytes) -> pa.Table:
+    with pa.ipc.open_stream(body) as t:
+        return t.read_all()
+
+
+def _apart(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers that a shuffle to ``n`` partitions deals to one each."""
+    dealt = spark.range(n * 40).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(n)).alias("p"))
+    first = {r.p: r.k for r in dealt.groupBy("p").agg(F.min("k").alias("k")).collect()}
+    return [first.get(p, -1 - p) for p in range(n)]
+
+
 def sketch_pairs(xs: DataFrame, ys: DataFrame, features: Sequence[Callable[[Column], Column]], most: Callable[[int, np.ndarray], list[np.ndarray]], lead: int = 0, folds: int = 1) -> DataFrame:
     """``x, y``: the pairs of distinct texts ``x`` and ``y`` whose ``features``
     (arrays) may differ in at most ``most`` elements each.  Lossless; pairs with
@@ -117,29 +144,55 @@ def sketch_pairs(xs: DataFrame, ys: DataFrame, features: Sequence[Callable[[Colu
     ``y`` and gives, for each kind, how many elements of both sides may be without
     partner; a negative first bound leaves the pair out.  All pairs are told apart by the kind
     ``lead``, folded to ``folds`` words; the rest by all.  Both sides are dealt to
-    tiles, in each of which every sketch meets every other: two nanoseconds a pair,
-    whatever the texts, and a shuffle of each side once a tile of the other."""
+    tiles, in each of which every sketch meets every other: one or two nanoseconds a
+    pair, whatever the texts, and a shuffle of each side, in compressed blocks, once a
+    tile of the other."""
     ws, kinds = Workspace(xs.sparkSession, "sketches"), range(len(features))
 
-    def made(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+    def made(df: DataFrame, key: str, spread: int) -> tuple[DataFrame, int]:
         bits = [F.transform(f(F.col(key)), lambda g: (F.xxhash64(g).bitwiseAND(F.lit(255)) - 128).cast("tinyint")).alias(f"b{k}") for k, f in enumerate(features)]
         df = ws.cut(df.select(F.col(key).alias("v"), *bits), key)
         n = df.count()
-        return df, max(math.ceil(n / TILE), min(SPREAD, math.ceil(n / 1000)), 1)
+        return df, max(math.ceil(n / TILE), min(spread, math.ceil(n / 1000)), 1)
+
+    def packed(df: DataFrame, k: int, left: bool) -> DataFrame:
+        """Rows of each of ``k`` parts as compressed blocks, half the size of rows."""
+        own = df.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(k)).cast("int"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+
+            def blocks() -> pa.RecordBatch:
+                t = pa.Table.from_batches(held)
+                part = t.column("part").to_numpy()
+                parts = np.unique(part)
+                bodies = [_written(t.filter(pa.array(part == p)).drop_columns("part")) for p in parts]
+                return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(bodies, pa.binary())], ["part", "body"])
+
+            for batch in batches:
+                held.append(batch)
+                if sum(map(len, held)) >= 50_000:
+                    yield blocks()
+                    held.clear()
+            if held:
+                yield blocks()
+
+        return own.mapInArrow(run, "part int, body binary").withColumn("left", F.lit(left))
 
-    (x, kx), (y, ky) = made(xs, "x"), made(ys, "y")
-    own = lambda k: F.pmod(F.xxhash64("v"), F.lit(k)).cast("int")
+    (x, kx), (y, ky) = made(xs, "x", SPREAD[0]), made(ys, "y", SPREAD[1])
     all_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    x = x.withColumn("i", own(kx)).select("*", all_(ky).alias("j")).withColumn("left", F.lit(True))
-    y = y.withColumn("j", own(ky)).select("*", all_(kx).alias("i")).withColumn("left", F.lit(False))
-    rows = x.unionByName(y).withColumn("tile", F.col("i") * ky + F.col("j")).drop("i", "j").repartition(kx * ky, "tile")
+    x = packed(x, kx, True).withColumnRenamed("part", "i").select("*", all_(ky).alias("j"))
+    y = packed(y, ky, False).withColumnRenamed("part", "j").select("*", all_(kx).alias("i"))
+    labels = F.array(*[F.lit(k) for k in _apart(xs.sparkSession, kx * ky)])
+    rows = x.unionByName(y).withColumn("tile", F.get(labels, F.col("i") * ky + F.col("j"))).drop("i", "j").repartition(kx * ky, "tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         left = t.column("left").to_numpy()
-        a, b = t.filter(pa.array(left)).combine_chunks(), t.filter(pa.array(~left)).combine_chunks()
-        if not len(a) or not len(b):
+        sides = [t.column("body").filter(pa.array(own)).to_pylist() for own in (left, ~left)]
+        if not all(sides):
             return
+        a, b = (pa.concat_tables(_read(body) for body in bodies).combine_chunks() for bodies in sides)
         one = lambda t, c: t.column(c).combine_chunks()
         made = lambda i, j: pa.RecordBatch.from_arrays([one(a, "v").take(pa.array(i)), one(b, "v").take(pa.array(j))], ["x", "y"])
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -272,7 +325,7 @@ def all_vectors(a: DataFrame, b: DataFrame, measures: Sequence[str] = tuple(D.VE
     own = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
     all_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     # few tiles a side are enough for the tasks; more would only be copies
-    kx, ky = min(kx, SPREAD * 4), min(ky, SPREAD * 4)
+    kx, ky = min(kx, 28), min(ky, 28)
     xs, ys = xs.select("e1", "x", own("e1", kx).alias("i"), all_(ky).alias("j")), ys.select("e2", "y", all_(kx).alias("i"), own("e2", ky).alias("j"))
     tiled = lambda df: df.withColumn("tile", F.col("i") * ky + F.col("j")).drop("i", "j").repartition(kx * ky, "tile")
     met = tiled(xs).join(tiled(ys), "tile")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tessera.functions import corpus
@@ -300,3 +301,23 @@ def test_jaro_winkler_and_duplicates_by_sketches(spark, tmp_path):
 
     foods(spark, tmp_path, 40)
     assert by_sketches(queries.jaro_winkler_rule(spark, str(tmp_path))) and by_sketches(queries.near_duplicates(spark, str(tmp_path)))
+
+
+def in_blocks(df):
+    """Whether tiles get compressed blocks of sketches, not a row for each text."""
+    return "MapInArrow" in df._jdf.queryExecution().toString()
+
+
+def test_tiles_meet_once_in_blocks(spark, tmp_path, monkeypatch):
+    from tessera.plans import queries
+
+    monkeypatch.setattr(pairs, "TILE", 40)
+    names = foods(spark, tmp_path)
+    got = queries.threshold_buckets(spark, str(tmp_path))
+    assert in_blocks(got) and {(r.e1, r.e2) for r in got.collect()} == {(a, b) for a, b, x, y in names if qgram(x, y) <= 0.3 + 1e-12}
+    xs, ys = (spark.createDataFrame([(v,) for v in {r[k] for r in names}], c) for k, c in ((2, "x string"), (3, "y string")))
+    every = pairs.sketch_pairs(xs, ys, [lambda c: D.grams(c, 2)], lambda m, n: [np.full(len(n), 99)])
+    assert every.count() == every.distinct().count() == xs.count() * ys.count()
+    for n in (1, 12, 49):
+        dealt = spark.createDataFrame([(k,) for k in pairs._apart(spark, n)], "k int").repartition(n, "k")
+        assert dealt.select(F.spark_partition_id().alias("p")).distinct().count() == n
