@@ -169,6 +169,8 @@ def required_pairs(c: Comparison, a: DataFrame, b: DataFrame) -> DataFrame:
     if name in ("jaro", "jaro_standard", "jaro_winkler", "jaro_winkler_standard"):
         # a common prefix of up to four signs takes off at most four tenths
         made = pairs.jaro_candidates(xs.select(F.col("label").alias("x")), ys.select(F.col("label").alias("y")), t / 0.6 if "winkler" in name else t)
+        # most texts of the same signs are far apart: they go before anything is joined
+        made = made.where(c.measure(F.col("x"), F.col("y")) <= t + 1e-9)
         made = made.join(xs.toDF("e1", "x"), "x").join(ys.toDF("e2", "y"), "y")
     elif name == "levenshtein":
         made = pairs.levenshtein_join(xs, ys, t)

@@ -321,3 +321,18 @@ def test_tiles_meet_once_in_blocks(spark, tmp_path, monkeypatch):
     for n in (1, 12, 49):
         dealt = spark.createDataFrame([(k,) for k in pairs._apart(spark, n)], "k int").repartition(n, "k")
         assert dealt.select(F.spark_partition_id().alias("p")).distinct().count() == n
+
+
+def test_required_pairs_are_near_before_joins(spark, tmp_path, monkeypatch):
+    from tessera.plans import queries
+
+    rule = rules.Comparison("name", "name", D.jaro_winkler_standard, 0.04, True)
+    # v has the signs of u in another order: equal sketches, but far apart
+    a = spark.createDataFrame([("u", ["abcdefghijkl"])], "uri string, name array<string>")
+    b = spark.createDataFrame([("v", ["lkjihgfedcba"]), ("w", ["abcdefghijlk"])], "uri string, name array<string>")
+    assert {tuple(r) for r in rules.required_pairs(rule, a, b).collect()} == {("u", "w")}
+    monkeypatch.setattr(pairs, "TILE", 20)
+    names = foods(spark, tmp_path, 40)
+    d = D.winkler_values([x for *_, x, _ in names], [y for *_, y in names], False)
+    got = {(r.source, r.target) for r in queries.jaro_winkler_rule(spark, str(tmp_path)).collect()}
+    assert got == {(r[0], r[1]) for r, v in zip(names, d) if v <= 0.04} and got
