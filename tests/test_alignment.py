@@ -336,3 +336,12 @@ def test_required_pairs_are_near_before_joins(spark, tmp_path, monkeypatch):
     d = D.winkler_values([x for *_, x, _ in names], [y for *_, y in names], False)
     got = {(r.source, r.target) for r in queries.jaro_winkler_rule(spark, str(tmp_path)).collect()}
     assert got == {(r[0], r[1]) for r, v in zip(names, d) if v <= 0.04} and got
+
+
+def test_rule_links_in_blocks(spark, tmp_path, monkeypatch):
+    from tessera.plans import queries
+
+    monkeypatch.setattr(pairs, "TILE", 40)
+    names = foods(spark, tmp_path)
+    got = queries.rule_links(spark, str(tmp_path))
+    assert in_blocks(got) and {(r.source, r.target): r.confidence for r in got.collect()} == {(a, b): round(1 - d / 0.25, 6) for a, b, x, y in names if (d := qgram(x, y)) <= 0.25 + 1e-12}
