@@ -345,3 +345,13 @@ def test_rule_links_in_blocks(spark, tmp_path, monkeypatch):
     names = foods(spark, tmp_path)
     got = queries.rule_links(spark, str(tmp_path))
     assert in_blocks(got) and {(r.source, r.target): r.confidence for r in got.collect()} == {(a, b): round(1 - d / 0.25, 6) for a, b, x, y in names if (d := qgram(x, y)) <= 0.25 + 1e-12}
+
+
+def test_stream_matches_in_blocks(spark, tmp_path, monkeypatch):
+    from tessera.plans import queries
+
+    names, seen, join = foods(spark, tmp_path), [], pairs.qgram_join
+    monkeypatch.setattr(pairs, "TILE", 40)
+    monkeypatch.setattr(pairs, "qgram_join", lambda *a: (seen.append(df := join(*a)), df)[1])
+    got = {(r.e1, r.e2): r.p for r in queries.stream_matches(spark, str(tmp_path)).collect()}
+    assert all(map(in_blocks, seen)) and got == {(a, b): round(d, 6) for a, b, x, y in names if (d := qgram(x, y)) <= 0.3 + 1e-12}
