@@ -43,11 +43,17 @@ def grams(c: Column, q: int) -> Column:
     """Set of q-grams of the string with ``q - 1`` signs ``#`` on both sides; an
     empty string has those of the padding alone."""
     pad = "#" * (q - 1)
-    s = F.concat(F.lit(pad), c, F.lit(pad))
-    n = F.length(s) - (q - 1)
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(s, i, F.lit(q))))).when(
-        c.isNotNull(), F.array().cast("array<string>")
-    )
+    n = F.length(c) + (q - 1)
+    # as an element the padded string is made once, not for each gram
+    padded = F.array(F.concat(F.lit(pad), c, F.lit(pad)))
+    made = F.transform(padded, lambda s: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(s, i, F.lit(q))))
+    return F.when(n > 0, F.array_distinct(F.get(made, F.lit(0)))).when(c.isNotNull(), F.array().cast("array<string>"))
+
+
+def gram_set(x: str, q: int) -> set[str]:
+    """``grams`` of one string outside of a plan."""
+    s = "#" * (q - 1) + x + "#" * (q - 1)
+    return {s[i : i + q] for i in range(len(s) - q + 1)}
 
 
 def jaccard(x: Column, y: Column) -> Column:

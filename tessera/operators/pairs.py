@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -72,23 +73,153 @@ def _sketches(bits: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return n, out
 
 
+#: Pairs of rows from which a tile splits sketches into parts, and pairs of one part's
+#: value from which rows meet as blocks.
+SPLIT, BLOCK = 1_000_000, 2_000
+
+
+def _part(w: np.ndarray, k: int, parts: int) -> np.ndarray:
+    """Part ``k`` of each sketch: ``256 / parts`` neighbouring bits, 64 at most."""
+    lo, hi = -(-256 * k // parts), -(-256 * (k + 1) // parts)
+    out = w[:, lo >> 6] >> np.uint64(lo & 63)
+    if (hi - 1) >> 6 != lo >> 6:
+        out = out | w[:, (lo >> 6) + 1] << np.uint64(64 - (lo & 63))
+    return out & np.uint64((1 << (hi - lo)) - 1)
+
+
+def _less(v: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values ``v`` with one bit less, if they may be among ``other``, and their rows."""
+    place = lambda z: (z * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+    known = np.zeros(1 << 22, bool)
+    known[place(other)] = True
+    made, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for bit in range(int(np.bitwise_or.reduce(v)).bit_length()):
+        i = np.flatnonzero((v & np.uint64(1 << bit)).astype(bool))
+        z = v[i] ^ np.uint64(1 << bit)
+        ok = known[place(z)]
+        made.append(z[ok])
+        rows.append(i[ok])
+    return np.concatenate(made), np.concatenate(rows)
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Orders of ``a`` and ``b`` by value, and for each common value its beginning in
+    either order and its number there."""
+    p, q = np.argsort(a), np.argsort(b)
+    u, i, n = np.unique(a[p], return_index=True, return_counts=True)
+    sb = b[q]
+    j = np.searchsorted(sb, u)
+    m = np.searchsorted(sb, u, "right") - j
+    keep = m > 0
+    return p, q, i[keep], n[keep], j[keep], m[keep]
+
+
+def _meet(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], fx: list[np.ndarray], fy: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of values ``a`` and ``b`` (value, row) that are equal and whose folded
+    sketches differ in at most ``most`` bits."""
+    p, q, i, n, j, m = _equal(a[0], b[0])
+    rx, ry = a[1][p], b[1][q]
+    fx, fy = [f[rx] for f in fx], [f[ry] for f in fy]
+    big = n * m >= BLOCK
+    for i0, n0, j0, m0 in zip(*(z[big].tolist() for z in (i, n, j, m))):
+        step = max(1, 200_000 // m0)
+        for r in range(i0, i0 + n0, step):
+            end = min(r + step, i0 + n0)
+            for c in range(j0, j0 + m0, 200_000):
+                last = min(c + 200_000, j0 + m0)
+                ok = reduce(np.add, (np.bitwise_count(f[r:end, None] ^ g[None, c:last]) for f, g in zip(fx, fy))) <= most
+                if ok.any():
+                    hit = np.flatnonzero(ok)
+                    yield rx[r + hit // (last - c)], ry[c + hit % (last - c)]
+    i, n, j, m = (z[~big] for z in (i, n, j, m))
+    ends = np.cumsum(n * m)
+    cut = 0
+    while cut < len(i):
+        to = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + 500_000)))
+        # each row of the one side, then those of the other that it meets
+        left = np.repeat(i[cut:to] - np.cumsum(n[cut:to]) + n[cut:to], n[cut:to]) + np.arange(n[cut:to].sum())
+        times, first = np.repeat(m[cut:to], n[cut:to]), np.repeat(j[cut:to], n[cut:to])
+        x = np.repeat(left, times)
+        y = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        hit = np.flatnonzero(reduce(np.add, (np.bitwise_count(f[x] ^ g[y]) for f, g in zip(fx, fy))) <= most)
+        if len(hit):
+            yield rx[x[hit]], ry[y[hit]]
+        cut = to
+
+
+def _by_parts(wx: np.ndarray, wy: np.ndarray, fx: list[np.ndarray], fy: list[np.ndarray], parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the pairs of sketches that may differ in at most ``2 * parts - 1``
+    bits, each once: in one of the parts they differ in one bit at most, so that
+    there they are equal or one is the other with a bit less."""
+    before: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in range(parts):
+        vx, vy = _part(wx, k, parts), _part(wy, k, parts)
+        x, y = (vx, np.arange(len(vx))), (vy, np.arange(len(vy)))
+        less = _less(vy, vx)
+        both = np.concatenate([vy, less[0]]), np.concatenate([y[1], less[1]])
+        for a, b in ((x, both), (_less(vx, vy), y)):
+            for i, j in _meet(a, b, fx, fy, 2 * parts - 1):
+                for p, q in before:
+                    new = np.bitwise_count(p[i] ^ q[j]) > 1
+                    i, j = i[new], j[new]
+                if len(i):
+                    yield i, j
+        before.append((vx, vy))
+
+
+def _selective(wx: np.ndarray, wy: np.ndarray, parts: int) -> bool:
+    """Whether few enough pairs are near in a part; those of equal parts are about a
+    tenth of them."""
+    pairs = len(wx) * len(wy)
+    if pairs < SPLIT or np.bitwise_count(wx).sum() < 4 * parts * len(wx):
+        return False
+    alike = 0
+    for k in range(parts):
+        *_, n, _, m = _equal(_part(wx, k, parts), _part(wy, k, parts))
+        alike += int((n * m).sum())
+    return 20 * alike < pairs
+
+
 def _near(x: list[pa.ListArray], y: list[pa.ListArray], most: Callable[[int, np.ndarray], list[np.ndarray]], lead: int = 0, folds: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the pairs whose sketches differ in at most ``most`` bits."""
+    """Row numbers of the pairs whose sketches differ in at most ``most`` bits.
+
+    Pairs of sizes with the same bound meet by parts of the sketches if that leaves
+    few; the others are all compared."""
     (nx, _), (ny, _) = (made := [_sketches(c) for c in x])[0], (other := [_sketches(c) for c in y])[0]
     order = np.argsort(ny, kind="stable")
     ny, wx, wy = ny[order], [w for _, w in made], [w[order] for _, w in other]
     # folded to one word or two, a sketch still differs in no more bits
     fold = lambda w: [np.bitwise_xor.reduce(w[lead][:, k::folds], axis=1) for k in range(folds)]
     fx, fy = fold(wx), fold(wy)
+    left, front = np.unique(nx, return_inverse=True)
     sizes, back = np.unique(ny, return_inverse=True)
+    bounds = [np.array(h, np.int64) for h in zip(*(most(int(n), sizes.astype(np.int64)) for n in left))]
+    open_ = bounds[0] >= 0
+    parts = np.where(open_, np.maximum(bounds[lead] // 2 + 1, 4), 0)
+    for n in np.unique(parts[open_]):
+        own = parts == n
+        rows, cols = np.flatnonzero(own.any(1)[front]), np.flatnonzero(own.any(0)[back])
+        a, b = wx[lead][rows], wy[lead][cols]
+        if not _selective(a, b, int(n)):
+            continue
+        open_ &= ~own
+        for i, j in _by_parts(a, b, [f[rows] for f in fx], [f[cols] for f in fy], int(n)):
+            i, j = rows[i], cols[j]
+            keep = own[front[i], back[j]]
+            i, j = i[keep], j[keep]
+            for p, q, h in zip(wx, wy, bounds):
+                keep = np.bitwise_count(p[i] ^ q[j]).sum(1, dtype=np.int64) <= h[front[i], back[j]]
+                i, j = i[keep], j[keep]
+            if len(i):
+                yield i, order[j]
     high, wide = 8, 16_384
     xor, count, more, ok = (np.empty(high * wide, t) for t in (np.uint64, np.uint8, np.uint8, bool))
-    for n in np.unique(nx):
-        rows, bound = np.flatnonzero(nx == n), [np.asarray(h, np.int64)[back] for h in most(int(n), sizes.astype(np.int64))]
-        fits = np.flatnonzero(bound[0] >= 0)
+    for k in range(len(left)):
+        rows, bound = np.flatnonzero(front == k), [h[k][back] for h in bounds]
+        fits = np.flatnonzero(open_[k][back])
         if not len(fits):
             continue
-        first = np.where(bound[0] < 0, -1, np.minimum(bound[lead], 127)).astype(np.int8)
+        first = np.where(open_[k][back], np.minimum(bound[lead], 127), -1).astype(np.int8)
         for c in range(fits[0], fits[-1] + 1, wide):
             cols = min(wide, fits[-1] + 1 - c)
             for r in range(0, len(rows), high):
@@ -135,18 +266,22 @@ def _apart(spark: SparkSession, n: int) -> list[int]:
     return [first.get(p, -1 - p) for p in range(n)]
 
 
-def sketch_pairs(xs: DataFrame, ys: DataFrame, features: Sequence[Callable[[Column], Column]], most: Callable[[int, np.ndarray], list[np.ndarray]], lead: int = 0, folds: int = 1) -> DataFrame:
+def sketch_pairs(
+    xs: DataFrame, ys: DataFrame, features: Sequence[Callable[[Column], Column]], most: Callable[[int, np.ndarray], list[np.ndarray]], lead: int = 0, folds: int = 1,
+    near: Callable[[str, str], float | None] | None = None,
+) -> DataFrame:
     """``x, y``: the pairs of distinct texts ``x`` and ``y`` whose ``features``
     (arrays) may differ in at most ``most`` elements each.  Lossless; pairs with
-    equal sketch bits by chance come too, so the caller verifies.
+    equal sketch bits by chance come too, so the caller verifies; with ``near``, which
+    gives the distance of two texts or none, the pairs that have one come with it as ``d``.
 
     ``most`` takes a number of features of the first kind of ``x`` and those of many
     ``y`` and gives, for each kind, how many elements of both sides may be without
     partner; a negative first bound leaves the pair out.  All pairs are told apart by the kind
     ``lead``, folded to ``folds`` words; the rest by all.  Both sides are dealt to
-    tiles, in each of which every sketch meets every other: one or two nanoseconds a
-    pair, whatever the texts, and a shuffle of each side, in compressed blocks, once a
-    tile of the other."""
+    tiles, in each of which the sketches that are nearly equal in some part meet, or
+    every sketch every other at about a nanosecond a pair; that takes a shuffle of each
+    side, in compressed blocks, once a tile of the other."""
     ws, kinds = Workspace(xs.sparkSession, "sketches"), range(len(features))
 
     def made(df: DataFrame, key: str, spread: int) -> tuple[DataFrame, int]:
@@ -194,7 +329,14 @@ def sketch_pairs(xs: DataFrame, ys: DataFrame, features: Sequence[Callable[[Colu
             return
         a, b = (pa.concat_tables(_read(body) for body in bodies).combine_chunks() for bodies in sides)
         one = lambda t, c: t.column(c).combine_chunks()
-        made = lambda i, j: pa.RecordBatch.from_arrays([one(a, "v").take(pa.array(i)), one(b, "v").take(pa.array(j))], ["x", "y"])
+
+        def made(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            x, y = one(a, "v").take(pa.array(i)), one(b, "v").take(pa.array(j))
+            if not near:
+                return pa.RecordBatch.from_arrays([x, y], ["x", "y"])
+            d = pa.array(map(near, x.to_pylist(), y.to_pylist()), pa.float64())
+            return pa.RecordBatch.from_arrays([x, y, d], ["x", "y", "d"]).filter(d.is_valid())
+
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
         for i, j in _near([one(a, f"b{k}") for k in kinds], [one(b, f"b{k}") for k in kinds], most, lead, folds):
@@ -206,7 +348,7 @@ def sketch_pairs(xs: DataFrame, ys: DataFrame, features: Sequence[Callable[[Colu
         if held:
             yield made(*(np.concatenate(z) for z in zip(*held)))
 
-    return rows.groupBy("tile").applyInArrow(run, "x string, y string")
+    return rows.groupBy("tile").applyInArrow(run, "x string, y string" + ", d double" * bool(near))
 
 
 def qgram_join(a: DataFrame, b: DataFrame, t: float, q: int = 2, inclusive: bool = True) -> DataFrame:
@@ -221,9 +363,13 @@ def qgram_join(a: DataFrame, b: DataFrame, t: float, q: int = 2, inclusive: bool
         apart = np.floor((m + n) * t / (2 - t) + 1e-9)
         return [np.where(np.abs(m - n) <= apart, apart, -1)]
 
-    cand = sketch_pairs(xs, ys, [lambda c: D.grams(c, q)], most, folds=1 if t < 0.4 else 2)
-    found = cand.select("x", "y", D.qgrams(F.col("x"), F.col("y"), q).alias("d"))
-    return _back(a, b, found.where(F.col("d") <= t if inclusive else F.col("d") < t))
+    def near(x: str, y: str) -> float | None:
+        x, y = D.gram_set(x, q), D.gram_set(y, q)
+        both = len(x & y)
+        d = 1 - both / either if (either := len(x) + len(y) - both) else 0.0
+        return d if d < t or inclusive and d == t else None
+
+    return _back(a, b, sketch_pairs(xs, ys, [lambda c: D.grams(c, q)], most, folds=1 if t < 0.4 else 2, near=near))
 
 
 def levenshtein_join(a: DataFrame, b: DataFrame, t: float, inclusive: bool = True) -> DataFrame:

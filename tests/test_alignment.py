@@ -1,6 +1,8 @@
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.functions import corpus
@@ -355,3 +357,40 @@ def test_stream_matches_in_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pairs, "qgram_join", lambda *a: (seen.append(df := join(*a)), df)[1])
     got = {(r.e1, r.e2): r.p for r in queries.stream_matches(spark, str(tmp_path)).collect()}
     assert all(map(in_blocks, seen)) and got == {(a, b): round(d, 6) for a, b, x, y in names if (d := qgram(x, y)) <= 0.3 + 1e-12}
+
+
+def test_stream_matches_compares_few_pairs(spark, tmp_path, monkeypatch):
+    from tessera.plans import queries
+
+    rng = random.Random(8)
+    coined = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(5))
+    kinds = [(rng.choice(["early", "roasted", "golden", "summer"]), coined(), rng.choice(["barley", "milk", "soup", "sauce"])) for _ in range(1600)]
+    x = [" ".join(k) for k in kinds] + ["", "a", "é中 tea"]
+    y = [" ".join(k)[: rng.randrange(18, 30)] if rng.random() < 0.5 else f"{k[2]}, {k[1]}, {k[0]}" for k in kinds] + ["", "b", "é中 teas"]
+    grams = lambda texts: pa.array([[zlib.crc32(g.encode()) % 256 - 128 for g in D.gram_set(t, 2)] for t in texts], pa.list_(pa.int8()))
+    for t, least in ((0.3, 100), (0.1, 5)):
+        most = lambda m, n, t=t: [np.where(np.abs(m - n) <= (k := np.floor((m + n) * t / (2 - t) + 1e-9)), k, -1)]
+        a, b = grams(x), grams(y)
+        (nx, sx), (ny, sy) = pairs._sketches(a), pairs._sketches(b)
+        every = sum(np.bitwise_count(sx[:, None, k] ^ sy[None, :, k]).astype(int) for k in range(4))
+        want = {(i, j) for i, n in enumerate(nx) for j in np.flatnonzero(every[i] <= most(int(n), ny)[0]).tolist()}
+        seen, count = [], np.bitwise_count
+        monkeypatch.setattr(np, "bitwise_count", lambda z, *r, **k: (seen.append(z.size), count(z, *r, **k))[1])
+        got = [p for i, j in pairs._near([a], [b], most) for p in zip(i.tolist(), j.tolist())]
+        monkeypatch.setattr(np, "bitwise_count", count)
+        assert len(got) == len(want) >= least and set(got) == want
+        assert sum(seen) < 0.4 * len(x) * len(y)
+    # one value of a part at nearly all rows leaves every pair to be compared
+    odd = pa.array([[-128 + k for k in range(24)] + [k % 90] for k in range(1100)], pa.list_(pa.int8()))
+    both = [len(i) for i, _ in pairs._near([odd], [odd], lambda m, n: [np.full(len(n), 8)])]
+    assert sum(both) == 1100 * 1100
+    # distances are taken in the tiles, also of texts with odd signs
+    spark.createDataFrame([(f"c{k}", v) for k, v in enumerate(x)], "uri string, food_name string").write.parquet(f"{tmp_path}/cul_foods.parquet")
+    spark.createDataFrame([(f"w{k}", v) for k, v in enumerate(y)], "uri string, label string").write.parquet(f"{tmp_path}/wik_foods.parquet")
+    plans, join = [], pairs.qgram_join
+    monkeypatch.setattr(pairs, "qgram_join", lambda *a: (plans.append(df := join(*a)), df)[1])
+    got = {(r.e1, r.e2): r.p for r in queries.stream_matches(spark, str(tmp_path)).collect()}
+    sets = [[D.gram_set(v.lower(), 2) for v in z] for z in (x, y)]
+    want = {(f"c{i}", f"w{j}"): round(d, 6) for i, g in enumerate(sets[0]) for j, h in enumerate(sets[1]) if (d := 1 - (n := len(g & h)) / (len(g) + len(h) - n)) <= 0.3}
+    assert got == want and len(got) > 100
+    assert all("array_intersect" not in df._jdf.queryExecution().toString() for df in plans)
