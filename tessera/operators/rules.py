@@ -131,9 +131,13 @@ def generate_links(rule: Rule, a: DataFrame, b: DataFrame, keys_a: Callable[[],
     """``source, target, confidence`` of pairs whose confidence isn't negative.
 
     ``candidates`` (``source, target``) gives the pairs to compare, such as those
-    of ``required_pairs``.  Without it, pairs share a blocking key: by default an equal lower-cased token or whole
+    of ``required_pairs``; if it has the distances of all comparisons, under the
+    names the rule gives them, values are not looked up again.  Without it, pairs share a blocking key: by default an equal lower-cased token or whole
     value of the properties ``block``; ``keys_a`` and ``keys_b`` give other
     arrays of keys."""
+    if candidates is not None and (known := _distances(rule)) <= {*candidates.columns}:
+        rows = candidates.select("source", "target", *sorted(known)).distinct()
+        return rows.select("source", "target", rule.column().alias("confidence")).where("confidence >= 0")
     if candidates is None and (keys_a is None or keys_b is None):
         left, right = block or tuple(next(iter(sorted(s))) for s in rule.paths())
         make = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda v: F.concat(F.split(F.lower(v), r"[^\p{L}\p{Nd}]+"), F.array(F.lower(v))))))
@@ -146,6 +150,11 @@ def generate_links(rule: Rule, a: DataFrame, b: DataFrame, keys_a: Callable[[],
     return rows.select("source", "target", rule.column().alias("confidence")).where("confidence >= 0")
 
 
+def _distances(rule: Rule) -> set[str]:
+    """Names of the distance columns of a rule; "" if a comparison has none yet."""
+    return set().union(*map(_distances, rule.parts)) if isinstance(rule, Aggregation) else {rule.distance}
+
+
 def _sharing_a_key(left: DataFrame, right: DataFrame) -> DataFrame:
     """The pairs of rows with a common element of ``_keys``, each once: where they
     meet by their smallest common key.  Only the two sides are shuffled, not the

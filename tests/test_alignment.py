@@ -394,3 +394,29 @@ def test_stream_matches_compares_few_pairs(spark, tmp_path, monkeypatch):
     want = {(f"c{i}", f"w{j}"): round(d, 6) for i, g in enumerate(sets[0]) for j, h in enumerate(sets[1]) if (d := 1 - (n := len(g & h)) / (len(g) + len(h) - n)) <= 0.3}
     assert got == want and len(got) > 100
     assert all("array_intersect" not in df._jdf.queryExecution().toString() for df in plans)
+
+
+def test_rule_links_by_the_distances_of_the_join(spark, tmp_path):
+    from tessera.plans import queries
+
+    cul = [("c1", "roasted oats"), ("c1", "mild barley soup"), ("c1", "mild barley soup"), ("c2", "Mild Barley soups"), ("c3", None)]
+    wik = [("w1", "mild barley soup"), ("w1", "roasted oat"), ("w2", "roasted oats"), ("w2", None), ("w3", "xyz")]
+    spark.createDataFrame(cul, "uri string, food_name string").write.parquet(f"{tmp_path}/cul_foods.parquet")
+    spark.createDataFrame(wik, "uri string, label string").write.parquet(f"{tmp_path}/wik_foods.parquet")
+    links = queries.rule_links(spark, str(tmp_path))
+    best = {}
+    for s, x in cul:
+        for t, y in wik:
+            if x and y and (d := qgram(x.lower(), y.lower())) <= 0.25 + 1e-12:
+                best[s, t] = max(best.get((s, t), -1), round(1 - d / 0.25, 6))
+    assert sorted(best) == [("c1", "w1"), ("c1", "w2"), ("c2", "w1")]
+    assert {(r.source, r.target): r.confidence for r in links.collect()} == best and links.count() == 3
+    # no distance is taken a second time, from sets of names
+    plan = links._jdf.queryExecution().toString()
+    assert "array_intersect" not in plan and "collect_set" not in plan
+    # a rule with a comparison that isn't made yet still looks values up
+    one, other = rules.Comparison("name", "name", D.equality, 0.0, True, distance="d"), rules.Comparison("code", "code", D.equality, 0.0)
+    a = spark.createDataFrame([("u", ["x"], ["1"])], "uri string, name array<string>, code array<string>")
+    near = spark.createDataFrame([("u", "u", 0.0), ("u", "u", 0.0)], "source string, target string, d double")
+    assert [r.confidence for r in rules.generate_links(rules.Aggregation([other]), a, a, candidates=near).collect()] == [1.0]
+    assert [tuple(r) for r in rules.generate_links(rules.Aggregation([one]), a, a, candidates=near).collect()] == [("u", "u", 1.0)]
