@@ -71,3 +71,22 @@ def test_nodes_are_told_by_signs():
     who, at, node = spans._nodes(texts, np.array([0, 0, 0]), 5)
     cut = [texts[i][a : a + 5] for i, a in zip(who, at)]
     assert all((cut[i] == cut[j]) == (node[i] == node[j]) for i in range(len(cut)) for j in range(len(cut)))
+
+
+def test_nodes_sort_few_times(monkeypatch):
+    rng, rank, sorted_ = random.Random(9), spans._rank, []
+    monkeypatch.setattr(spans, "_rank", lambda x: (sorted_.append(len(x)), rank(x))[1])
+    latin, wide = [chr(k) for k in range(32, 127)], [chr(k) for k in range(0x4E00, 0x4E00 + 3000)] + ["\U0001f600", "\U0010ffff", "\0"]
+    for signs, length in ((latin, 200), (wide, 200), (["a"], 200), (["a", "b"], 63), (["a", "b"], 64), (wide, 1), (latin, 9), (latin, 10)):
+        core = [rng.choice(signs) for _ in range(260)]
+        texts = ["".join(core[a:b]) for a, b in ((0, 260), (3, 260), (0, 230), (20, 240))] + ["".join(rng.choice(signs) for _ in range(265))]
+        texts += [texts[0][:205] + rng.choice(signs) + texts[0][206:]]
+        group = np.array([0, 1, 0, 0, 1, 0])
+        sorted_.clear()
+        who, at, node = spans._nodes(texts, group, length)
+        assert len(who) == sum(len(t) - length + 1 for t in texts)
+        cut = [(group[i], texts[i][a : a + length]) for i, a in zip(who, at)]
+        assert len(set(zip(cut, node.tolist()))) == len(set(cut)) == len(set(node.tolist()))
+        if signs is latin and length == 200:
+            # five times all places, then those of the suffixes; three signs at first would be eight times
+            assert sum(sorted_) <= 5.8 * sum(map(len, texts))
